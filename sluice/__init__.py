@@ -1,0 +1 @@
+"""A pipe-query engine on PySpark."""
