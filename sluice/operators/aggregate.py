@@ -200,11 +200,11 @@ def accum(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
 
 @command("format", traits=("aggregate",))
 def format_rows(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
-    """All rows as one search expression."""
+    """All rows, in the order in which they come, as one search expression."""
     row_start, col_start, col_by, col_end, row_by, row_end = cmd.args or ("(", "(", "AND", ")", "OR", ")")
     limit = int(cmd.options.get("maxresults", 0))
     if limit:
-        df = df.orderBy(*event_order(df)).limit(limit)
+        df = df.limit(limit)
     mv_by = cmd.options.get("mvsep", "OR")
     cells = []
     for f in df.schema.fields:
@@ -214,7 +214,7 @@ def format_rows(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
         else:
             cells.append(q(col(f.name).cast("string") if v.kind == "time" else text(v)))
     line = F.concat(F.lit(f"{col_start} "), F.concat_ws(f" {col_by} ", *cells), F.lit(f" {col_end}"))
-    rows = df.select(F.struct(*event_order(df)).alias("o"), line.alias("l"))
+    rows = df.select(F.monotonically_increasing_id().alias("o"), line.alias("l"))
     gathered = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), f" {row_by} ").alias("l"))
     return gathered.select(F.concat(F.lit(f"{row_start} "), F.col("l"), F.lit(f" {row_end} ")).alias("search"))
 
