@@ -208,11 +208,11 @@ def format_rows(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     mv_by = cmd.options.get("mvsep", "OR")
     cells = []
     for f in df.schema.fields:
-        v, q = value_of(df, f.name), lambda s, n=f.name: F.concat(F.lit(f'{n}="'), s, F.lit('"'))
+        v, start = value_of(df, f.name), F.lit(f'{f.name}="')
         if v.kind == "mv":
-            cells.append(F.concat(F.lit("( "), F.array_join(F.transform(v.column.cast("array<string>"), q), f" {mv_by} "), F.lit(" ) ")))
+            cells.append(F.concat(F.lit("( "), F.array_join(F.transform(v.column.cast("array<string>"), lambda s: F.concat(start, s, F.lit('"'))), f" {mv_by} "), F.lit(" ) ")))
         else:
-            cells.append(q(col(f.name).cast("string") if v.kind == "time" else text(v)))
+            cells.append(F.concat(start, col(f.name).cast("string") if v.kind == "time" else text(v), F.lit('"')))
     line = F.concat(F.lit(f"{col_start} "), F.concat_ws(f" {col_by} ", *cells), F.lit(f" {col_end}"))
     rows = df.select(F.monotonically_increasing_id().alias("o"), line.alias("l"))
     gathered = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), f" {row_by} ").alias("l"))
