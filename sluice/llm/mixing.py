@@ -85,30 +85,30 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: M
     hot source is ranked by many tasks.
     """
     spark = docs.sparkSession
-    slot, rank, sk, bucket, h, n_buckets = fresh(docs, "mix_slot", "mix_rank", "mix_source", "mix_bucket", "mix_hash", "mix_buckets")
+    slot, rank, sk, bucket, h, n_buckets, at, start, block, *phase = fresh(docs, "mix_slot", "mix_rank", "mix_source", "mix_bucket", "mix_hash", "mix_buckets", "mix_at", "mix_start", "mix_block", "mix_lo", "mix_hi", "mix_first", "mix_shares", "mix_length", "mix_offsets")
     name = F.coalesce(F.concat(F.lit("="), col(source).cast("string")), F.lit("null"))
     sizes = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).collect()}
     target = {s: n**alpha for s, n in sizes.items()} if weights is None else {"null" if s is None else f"={s}": float(w) for s, w in weights.items()}
     phases = schedule({s: -(-n // block_docs) for s, n in sizes.items()}, target, resolution)
     of_source = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], f"{sk} string, {n_buckets} bigint")
-    of_phase = spark.createDataFrame(phases, f"{sk} string, _lo bigint, _hi bigint, _slot bigint, _shares bigint, _length bigint, _offsets array<int>")
+    of_phase = spark.createDataFrame(phases, ", ".join(f"{c} {kind}" for c, kind in zip([sk, *phase], ["string", *["bigint"] * 5, "array<int>"])))
 
     def placed(df: DataFrame) -> DataFrame:
         keyed = df.withColumns({sk: name, h: F.xxhash64(F.lit(seed), col(key))})
         return keyed.join(of_source, sk).withColumn(bucket, F.pmod(col(h), col(n_buckets))).drop(n_buckets)
 
-    counts = placed(docs.select(col(source), col(key))).groupBy(sk, bucket).agg(F.count("*").alias("_n"))
+    counts = placed(docs.select(col(source), col(key))).groupBy(sk, bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy(sk).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(counts.select(sk, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    starts = materialize(counts.select(sk, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)))
     plain = [col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     inside = Window.partitionBy(sk, bucket).orderBy(col(h), col(key), F.xxhash64(*plain))
-    ranked = placed(docs).withColumn("_at", F.row_number().over(inside) - 1).join(starts, [sk, bucket]).withColumn(rank, F.col("_start") + F.col("_at"))
-    block = F.floor(col(rank) / block_docs).cast("bigint")
-    k = block - F.col("_lo")
-    spot = F.col("_slot") + F.floor(k / F.col("_shares")).cast("bigint") * F.col("_length") + F.element_at("_offsets", (k % F.col("_shares")).cast("int") + 1)
-    timed = ranked.withColumn("_block", block).join(of_phase, sk).where((F.col("_block") >= F.col("_lo")) & (F.col("_block") < F.col("_hi"))).withColumn(slot, spot)
+    ranked = placed(docs).withColumn(at, F.row_number().over(inside) - 1).join(starts, [sk, bucket]).withColumn(rank, F.col(start) + F.col(at))
+    lo, hi, first, shares, length, offsets = map(F.col, phase)
+    k = F.col(block) - lo
+    spot = first + F.floor(k / shares).cast("bigint") * length + F.element_at(offsets, (k % shares).cast("int") + 1)
+    timed = ranked.withColumn(block, F.floor(col(rank) / block_docs).cast("bigint")).join(of_phase, sk).where((F.col(block) >= lo) & (F.col(block) < hi)).withColumn(slot, spot)
     out = timed.select(*[col(c) for c in docs.columns], slot, rank)
-    slots = max(1, sum(hi - lo for _, lo, hi, *_ in phases))
+    slots = max(1, sum(p[2] - p[1] for p in phases))
     parts = max(1, min(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return out.repartitionById(parts, F.floor(col(slot) * parts / slots).cast("int")).sortWithinPartitions(slot, rank)
 
