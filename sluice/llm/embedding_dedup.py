@@ -95,7 +95,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = P
 def groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """(id, root) for every vector with a near copy: root is the least id that chains of near pairs link it with. Equal vectors are one node."""
     rows = vectors.where(col(key).isNotNull() & col(vector).isNotNull()).select(col(key).cast("bigint").alias("id"), col(vector).cast("array<float>").alias("v"))
-    rows = rows.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    rows = rows.where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     nodes = materialize(rows.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     linked = components(materialize(near_pairs(nodes, **options).select("u", "v")))
     copies = rows.join(nodes.where("copies > 1"), "v").select("id", "node")
@@ -108,8 +108,8 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Near copies have a cosine of at least threshold (0.95); groups are the connected components. Candidates are pairs whose lists of nearest
     pivots share enough; the pivots are chosen by hash, so that results don't depend on partitions, and the recall of pairs is tested to be
-    over 0.9. Null, zero and undefined vectors and those of another width than most have no near copies; rows with a null key have a null root
-    and are kept. Rows that repeat a key count as one. Ties go to the least key. An empty table gives an empty one. Where other columns have
+    over 0.9. Null, empty, zero, infinite and undefined vectors have no near copies, and those of another width than most only equal ones; rows
+    with a null key have a null root and are kept. Rows that repeat a key count as one. Ties go to the least key. An empty table gives an empty one. Where other columns have
     these names, those of the new ones get longer.
     """
     vectors = one_row_per_id(vectors, key)
