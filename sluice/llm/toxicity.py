@@ -211,10 +211,11 @@ class Adam:
         value[rows] -= self.rate * (m[rows] / (1 - 0.9**self.t)) / (np.sqrt(v[rows] / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, bag: int = 12, seed: int = 3, batch: int = 48, rate: float = 0.02) -> Model | None:
+def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 240, bag: int = 12, seed: int = 3, batch: int = 48, rate: float = 0.02) -> Model | None:
     """A model fitted on four fifths of the texts, its threshold on the other fifth; None unless both labels are there.
 
-    Each epoch draws up to bag windows of a text. A text is taken to be toxic if one of its windows is.
+    There are epochs epochs, or as many as it takes to make steps steps where the texts are few. In each, texts of the rarer class come several
+    times, so that the classes weigh alike, and up to bag windows of a text are drawn each time. A text is taken to be toxic if one of its windows is.
     """
     rng = np.random.default_rng(seed)
     at = [(_WORD.findall(t.lower()), y) for t, y in zip(texts, labels) if t]
@@ -228,9 +229,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, bag: int = 12, s
     numbered = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]), y) for words, y in fit]
     word_of = np.array([word_row(w) for w in vocabulary])
     grams_of = [np.array(gram_rows(w)) for w in vocabulary]
+    of = [[i for i, (_, y) in enumerate(numbered) if y == label] for label in (0, 1)]
+    fewer, more = sorted(of, key=len)
+    seen = np.array(more + fewer * max(1, len(more) // len(fewer)))
+    epochs = max(epochs, -(-steps // -(-len(seen) // batch)))
     for epoch in range(epochs):
         adam.rate = rate * (1 - 0.8 * epoch / epochs)
-        order = rng.permutation(len(numbered))
+        order = rng.permutation(seen)
         for i in range(0, len(order), batch):
             adam.t += 1
             chosen = [numbered[j] for j in order[i : i + batch]]
