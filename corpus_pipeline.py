@@ -35,9 +35,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of tokens. Shards are runs of 4096 rows of a file, so that each holds neighbours in the mix and they follow it by name."""
-    at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return pack(at, shard=F.concat_ws("/", F.regexp_extract("_file", r"^(part-\d+)", 1), F.lpad(F.floor(F.col("_row") / 4096).cast("string"), 9, "0")))
+    """Windows of tokens. Shards are runs of 4096 rows of a file, so that each holds neighbours in the mix and they follow it by name. Rows that
+    come from no files go to shards by a hash."""
+    if not docs.inputFiles():
+        return pack(docs)
+    at = docs.metadataColumn("_metadata")
+    return pack(docs, shard=F.concat_ws("/", F.regexp_extract(at["file_name"], r"^(part-\d+)", 1), F.lpad(F.floor(at["row_index"] / 4096).cast("string"), 9, "0")))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
