@@ -116,10 +116,10 @@ class Aggregates:
         return F.percentile_approx(v.column if v.kind in NUMERIC else number(v), p / 100, 10000)
 
     def exact_percentile(self, a: Aggregate, p: float) -> Column:
-        """The value at the place nearest to p of the way; of an even number of values the mean with the next one."""
+        """The value at the place nearest to p of the way (the lower one of two); of an even number of values the mean with the next one."""
         s = F.array_sort(F.collect_list(number(self.value(a))))
         n = F.size(s)
-        at = F.floor(F.lit(p / 100) * (n - 1) + 0.5).cast("int")
+        at = F.ceil(F.lit(p / 100) * (n - 1) - 0.5).cast("int")
         here, following = F.get(s, at), F.get(s, at + 1)
         return F.when((n % 2 == 0) & (at + 1 < n), (here + following) / 2).otherwise(here)
 

@@ -75,7 +75,7 @@ PIPES: tuple[tuple[str, str, str | None], ...] = (
     ("stats_count_sum", "index=events | stats count count(value) AS cv sum(user_id) AS s c(user_id) AS c BY event_type", "SELECT event_type, count(*) AS count, count(value) AS cv, CAST(sum(user_id) AS VARCHAR) AS s, count(user_id) AS c FROM events GROUP BY 1"),
     ("stats_avg_min_max", "index=events | stats avg(user_id) AS a mean(user_id) AS m min(value) AS lo max(value) AS hi range(user_id) AS r min(event_type) AS first_type BY user_id", "SELECT user_id, avg(user_id) AS a, avg(user_id) AS m, CAST(min(value) AS VARCHAR) AS lo, CAST(max(value) AS VARCHAR) AS hi, '0' AS r, min(event_type) AS first_type FROM events GROUP BY 1"),
     ("stats_variance", "index=events | stats sumsq(user_id) AS q var(user_id) AS v varp(user_id) AS vp stdev(user_id) AS s stdevp(user_id) AS sp BY event_type | eval v=round(v,6), vp=round(vp,6), s=round(s,6), sp=round(sp,6)", "SELECT event_type, CAST(sum(user_id * user_id) AS DOUBLE) AS q, round(var_samp(user_id), 6) AS v, round(var_pop(user_id), 6) AS vp, round(stddev_samp(user_id), 6) AS s, round(stddev_pop(user_id), 6) AS sp FROM events GROUP BY 1"),
-    ("stats_percentiles", "index=events | stats median(user_id) AS m exactperc50(user_id) AS e50 exactperc90(event_id) AS e90 perc50(user_id) AS p50 p90(user_id) AS p90 upperperc95(user_id) AS u95 BY event_type", "WITH g AS (SELECT event_type, median(user_id) AS m, count(*) AS n, list(user_id ORDER BY user_id) AS u, list(event_id ORDER BY event_id) AS e, quantile_disc(user_id, 0.5) AS p50, quantile_disc(user_id, 0.9) AS p90, quantile_disc(user_id, 0.95) AS u95 FROM events GROUP BY 1), i AS (SELECT *, CAST(floor(0.5 * (n - 1) + 0.5) AS INTEGER) AS i50, CAST(floor(0.9 * (n - 1) + 0.5) AS INTEGER) AS i90 FROM g) SELECT event_type, CAST(m AS DOUBLE) AS m, CASE WHEN n % 2 = 0 AND i50 + 1 < n THEN (u[i50 + 1] + u[i50 + 2]) / 2 ELSE CAST(u[i50 + 1] AS DOUBLE) END AS e50, CASE WHEN n % 2 = 0 AND i90 + 1 < n THEN (e[i90 + 1] + e[i90 + 2]) / 2 ELSE CAST(e[i90 + 1] AS DOUBLE) END AS e90, p50, p90, u95 FROM i"),
+    ("stats_percentiles", "index=events | stats median(user_id) AS m exactperc50(user_id) AS e50 exactperc90(event_id) AS e90 perc50(user_id) AS p50 p90(user_id) AS p90 upperperc95(user_id) AS u95 BY event_type", "WITH g AS (SELECT event_type, median(user_id) AS m, count(*) AS n, list(user_id ORDER BY user_id) AS u, list(event_id ORDER BY event_id) AS e, quantile_disc(user_id, 0.5) AS p50, quantile_disc(user_id, 0.9) AS p90, quantile_disc(user_id, 0.95) AS u95 FROM events GROUP BY 1), i AS (SELECT *, CAST(ceil(0.5::DOUBLE * (n - 1) - 0.5) AS INTEGER) AS i50, CAST(ceil(0.9::DOUBLE * (n - 1) - 0.5) AS INTEGER) AS i90 FROM g) SELECT event_type, CAST(m AS DOUBLE) AS m, CASE WHEN n % 2 = 0 AND i50 + 1 < n THEN (u[i50 + 1] + u[i50 + 2]) / 2 ELSE CAST(u[i50 + 1] AS DOUBLE) END AS e50, CASE WHEN n % 2 = 0 AND i90 + 1 < n THEN (e[i90 + 1] + e[i90 + 2]) / 2 ELSE CAST(e[i90 + 1] AS DOUBLE) END AS e90, p50, p90, u95 FROM i"),
     ("stats_first_last", "index=events | stats first(event_id) AS f last(event_id) AS l earliest(value) AS e latest(value) AS t earliest_time(value) AS et latest_time(value) AS lt BY user_id", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS f, arg_max(event_id, (ts, event_id)) AS l, CAST(arg_min(value, (ts, event_id)) AS VARCHAR) AS e, CAST(arg_max(value, (ts, event_id)) AS VARCHAR) AS t, CAST(CAST(floor(epoch(min(ts))) AS BIGINT) AS VARCHAR) AS et, CAST(CAST(floor(epoch(max(ts))) AS BIGINT) AS VARCHAR) AS lt FROM events GROUP BY 1"),
     ("stats_rate", "index=events | stats rate(event_id) AS r BY event_type | eval r=round(r,9)", "SELECT event_type, round((arg_max(event_id, ts) - arg_min(event_id, ts)) / (floor(epoch(max(ts))) - floor(epoch(min(ts)))), 9) AS r FROM events GROUP BY 1"),
     ("stats_values_list", "index=events | stats values(event_type) AS v list(event_type) AS l dc(event_type) AS d distinct_count(event_id) AS dd estdc(event_type) AS e estdc_error(event_type) AS ee BY user_id", "SELECT user_id, string_agg(DISTINCT event_type, chr(10) ORDER BY event_type) AS v, array_to_string(list_slice(list(event_type ORDER BY ts, event_id), 1, 100), chr(10)) AS l, CAST(count(DISTINCT event_type) AS INTEGER) AS d, CAST(count(DISTINCT event_id) AS INTEGER) AS dd, count(DISTINCT event_type) AS e, CAST(0 AS DOUBLE) AS ee FROM events GROUP BY 1"),
