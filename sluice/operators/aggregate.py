@@ -114,8 +114,7 @@ def dedup(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
         row = F.struct(*[col(c) for c in df.columns])
         return df.groupBy(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(F.min_by(row, F.struct(*event_order(df))).alias("_row")).select("_row.*")
     if o.get("consecutive"):
-        changed = reduce(lambda p, q: p | q, [~col(n).eqNullSafe(F.lag(col(n)).over(Window.orderBy(*order))) for n in names])
-        numbered = df.withColumn("_n", F.when(F.row_number().over(Window.orderBy(*order)) == 1, F.lit(1)).otherwise(F.when(changed, 1).otherwise(o["n"] + 1)))
+        numbered = run_starts(df, names, order, not o["sortby"]).withColumn("_n", F.when("_new", 1).otherwise(o["n"] + 1)).drop("_new")
     else:
         numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*[col(n) for n in names]).orderBy(*order)))
     keep = F.col("_n") <= o["n"]
@@ -158,19 +157,23 @@ def addtotals(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     return out.select(*[as_text(c).alias(c) for c in out.columns]).unionByName(totals.select(*[col(c).cast("string").alias(c) for c in out.columns]))
 
 
-#: Pieces of the time line that accum sums apart.
+#: Pieces of the time line that are worked on apart where all rows are in one order.
 PIECES = 256
 
 
+def piece_of(df: DataFrame) -> Column:
+    """The piece of the time line, cut at quantiles of _time, that a row is in; null times come before all."""
+    cuts = df.agg(F.percentile_approx(F.unix_micros("_time"), [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.coalesce(F.unix_micros("_time"), F.lit(-(2**62)))))
+
+
 def running_sum(df: DataFrame, x: Column, into: str) -> DataFrame:
-    """Sum of x over all rows up to each one in the order of events. The time line is cut at quantiles of _time; sums of the pieces before are added
-    to the sum within the piece, so that no task sorts all rows."""
+    """Sum of x over all rows up to each one in the order of events: the sum within the row's piece and the sums of the pieces before, so that no
+    task sorts all rows."""
     order = event_order(df)
     if "_time" not in df.columns or df.isStreaming:
         return df.withColumn(into, F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = df.agg(F.percentile_approx(F.unix_micros("_time"), [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.coalesce(F.unix_micros("_time"), F.lit(-(2**62)))))
-    rows = df.withColumns({"_piece": piece, "_x": x})
+    rows = df.withColumns({"_piece": piece_of(df), "_x": x})
     sums = rows.groupBy("_piece").agg(F.sum("_x").alias("_s"))
     before = sums.select("_piece", F.sum("_s").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     within = F.sum("_x").over(Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -179,6 +182,22 @@ def running_sum(df: DataFrame, x: Column, into: str) -> DataFrame:
     return out.withColumn(into, total).drop("_piece", "_x", "_within", "_before")
 
 
+def run_starts(df: DataFrame, names: list[str], order: list[Column], by_time: bool) -> DataFrame:
+    """df with _new: whether a row differs in the names from the one before it. In the order of events a piece of the time line needs only the last
+    row of the piece before."""
+    differs = lambda row: reduce(lambda p, q: p | q, [~col(n).eqNullSafe(row[f"k{i}"]) for i, n in enumerate(names)])
+    keys = F.struct(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    if not by_time or "_time" not in df.columns:
+        last = df.withColumn("_last", F.lag(keys).over(Window.orderBy(*order)))
+        return last.withColumn("_new", F.col("_last").isNull() | differs(F.col("_last"))).drop("_last")
+    rows = df.withColumn("_piece", piece_of(df))
+    ends = rows.groupBy("_piece").agg(F.max_by(keys, F.struct(*order)).alias("_end"))
+    before = ends.select("_piece", F.lag("_end").over(Window.orderBy("_piece")).alias("_before"))
+    within = rows.withColumn("_last", F.lag(keys).over(Window.partitionBy("_piece").orderBy(*order)))
+    last = within.join(before, "_piece").withColumn("_last", F.coalesce("_last", "_before"))
+    return last.withColumn("_new", F.col("_last").isNull() | differs(F.col("_last"))).drop("_piece", "_last", "_before")
+
+
 @command("accum", traits=("sorts",))
 def accum(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     """The running sum in the order of events, as a text; whole until the first number with decimals. Rows that are no number keep their
