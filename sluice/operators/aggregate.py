@@ -114,7 +114,7 @@ def dedup(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
         row = F.struct(*[col(c) for c in df.columns])
         return df.groupBy(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(F.min_by(row, F.struct(*event_order(df))).alias("_row")).select("_row.*")
     if o.get("consecutive"):
-        numbered = run_starts(df, names, order, not o["sortby"]).withColumn("_n", F.when("_new", 1).otherwise(o["n"] + 1)).drop("_new")
+        numbered = run_starts(df, names, order, not o["sortby"]).withColumn("_n", F.when(F.col("_new"), 1).otherwise(o["n"] + 1)).drop("_new")
     else:
         numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*[col(n) for n in names]).orderBy(*order)))
     keep = F.col("_n") <= o["n"]
