@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .sources.events import TableCatalog
+from .sources.shared import shared_folder
 
 #: (name, query, SQL or None)
 PIPES: tuple[tuple[str, str, str | None], ...] = (
@@ -137,10 +138,7 @@ def iplocation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _saved(spark: SparkSession, folder: str) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/sluice-saved-{abs(hash(folder))}"
+    return f"{shared_folder(spark)}/saved-{abs(hash(folder))}"
 
 
 def save_and_load(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +18,7 @@ from ..operators.search import filter_frame, time_range
 from ..plans import ast
 from ..plans.lexer import QueryError
 from ..plans.parser import parse
+from ..sources.shared import shared_folder
 
 #: Commands that may run on the stream itself, before any aggregate.
 ROWWISE = frozenset("search where regex fields table rename eval fillnull strcat replace rex rex4j convert rangemap dedup accum".split())
@@ -107,7 +108,7 @@ class StreamRunner:
         """Over what is there now, or, with a processing time, on and on."""
         df, mode, finish, _, aggregated = self.plan(query, stream)
         writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, n: consumer(finish(batch, n), aggregated))
-        writer = writer.option("checkpointLocation", self.checkpoint or tempfile.mkdtemp(prefix="sluice-stream-"))
+        writer = writer.option("checkpointLocation", self.checkpoint or f"{shared_folder(self.engine.spark)}/stream-{uuid.uuid4().hex}")
         return (writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)).start()
 
     def run(self, query: str | ast.Query, stream: DataFrame, consumer: Callable[[DataFrame, bool], None], timeout: float | None = None) -> None:
