@@ -63,6 +63,14 @@ def test_run_gives_what_the_stages_give(spark, folder):
     assert key(corpus_pipeline.run(spark, folder)) == key(corpus_pipeline.STAGES[-1][1](spark, docs, folder))
 
 
+def test_packing_with_clashing_columns_and_without_files(spark, table, tmp_path):
+    df = table([(i, f"a b c {i}", "xx", "s", 9) for i in range(50)], DOCS, clash=True).drop("a map")
+    df.write.parquet(f"{tmp_path}/mixed")
+    for docs in (spark.read.parquet(f"{tmp_path}/mixed"), df):
+        bins = corpus_pipeline.packed(spark, docs, "").collect()
+        assert sorted(i for r in bins for i in r["doc_ids"]) == list(range(50)) and sum(r["used"] for r in bins) == 200
+
+
 def test_registered():
     import __spark_entry__
 
