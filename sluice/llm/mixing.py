@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import col, fresh, materialize, table
 
 #: Documents that one window task ranks, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
+#: Numbers in a table of sources that is broadcast, at most.
+BROADCAST_ITEMS = 1_000_000
 
 
 def apportion(weights: Mapping[str, float], parts: int) -> dict[str, int]:
@@ -93,9 +95,13 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: M
     of_source = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], f"{sk} string, {n_buckets} bigint")
     of_phase = spark.createDataFrame(phases, ", ".join(f"{c} {kind}" for c, kind in zip([sk, *phase], ["string", *["bigint"] * 5, "array<int>"])))
 
+    def small(df: DataFrame, items: int) -> DataFrame:
+        # a join by source would bring a hot source to one task; a broadcast is held to BROADCAST_ITEMS numbers
+        return F.broadcast(df) if items <= BROADCAST_ITEMS else df
+
     def placed(df: DataFrame) -> DataFrame:
         keyed = df.withColumns({sk: name, h: F.xxhash64(F.lit(seed), col(key))})
-        return keyed.join(of_source, sk).withColumn(bucket, F.pmod(col(h), col(n_buckets))).drop(n_buckets)
+        return keyed.join(small(of_source, len(sizes)), sk).withColumn(bucket, F.pmod(col(h), col(n_buckets))).drop(n_buckets)
 
     counts = placed(docs.select(col(source), col(key))).groupBy(sk, bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy(sk).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: M
     lo, hi, first, shares, length, offsets = map(F.col, phase)
     k = F.col(block) - lo
     spot = first + F.floor(k / shares).cast("bigint") * length + F.element_at(offsets, (k % shares).cast("int") + 1)
-    timed = ranked.withColumn(block, F.floor(col(rank) / block_docs).cast("bigint")).join(of_phase, sk).where((F.col(block) >= lo) & (F.col(block) < hi)).withColumn(slot, spot)
+    timed = ranked.withColumn(block, F.floor(col(rank) / block_docs).cast("bigint")).join(small(of_phase, sum(len(p[-1]) for p in phases)), sk).where((F.col(block) >= lo) & (F.col(block) < hi)).withColumn(slot, spot)
     out = timed.select(*[col(c) for c in docs.columns], slot, rank)
     slots = max(1, sum(p[2] - p[1] for p in phases))
     parts = max(1, min(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
