@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm.mixing import apportion, edf_period, mix, schedule
+from sluice.llm.mixing import apportion, block_slots, edf_period, mix, schedule
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -91,3 +91,36 @@ def test_sources_without_weight_come_last(table):
     rows = [(i, "t", "ab"[i % 2]) for i in range(64)]
     got = ordered(mix(table(rows, DOCS), weights={"a": 1.0}, block_docs=4))
     assert [x[2] for x in got] == ["a"] * 32 + ["b"] * 32
+
+
+def worst(blocks, weights, slots):
+    """The greatest distance of any source from its target weight, in blocks, over the first slots; none may run out before."""
+    place = {x: s for s, own in block_slots(blocks, weights, None).items() for x in own}
+    assert sorted(place) == list(range(sum(blocks.values())))
+    total, done, off = sum(weights.values()), Counter(), 0.0
+    for t in range(slots):
+        done[place[t]] += 1
+        if t % 97 == 0 or t == slots - 1:
+            off = max(off, max(abs(done[s] - (t + 1) * w / total) for s, w in weights.items()))
+    return off
+
+
+def test_target_weights_over_many_slots():
+    sizes = {"hot": 4000, **{f"s{i}": 2000 for i in range(20)}}
+    assert worst(sizes, {s: n**0.5 for s, n in sizes.items()}, 20_000) < 1 + 1e-6
+
+
+@pytest.mark.parametrize("n", [100, 500, 1500])
+def test_target_weights_with_many_sources(n):
+    blocks = {"hot": 5000, **{f"s{i}": 30 for i in range(n)}}
+    assert worst(blocks, {"hot": 0.5, **{f"s{i}": 0.5 / n for i in range(n)}}, 5000) < 1 + 1e-6
+
+
+def test_share_when_sources_run_out():
+    blocks, weights = {"a": 700, "b": 20, "c": 333, "z": 9}, {"a": 2.0, "b": 1.0, "c": 1.0}
+    got = block_slots(blocks, weights, None)
+    assert sorted(x for own in got.values() for x in own) == list(range(1062)) and min(got["z"]) == 1053
+    for t in range(80, 1053):
+        past = t - 80  # b is used up after 80 slots, c after 1019
+        want = 40 + past * 2 / 3 if t < 1019 else 666 + t - 1019
+        assert abs(sum(x < t for x in got["a"]) - want) < 1 + 1e-6
