@@ -57,21 +57,22 @@ def template_rows(templates: tuple[tuple[str, str], ...], df: Mapping[str, int],
     return out
 
 
-def line_scores(lines: DataFrame, rows: list[tuple[int, str, str, float]], df: Mapping[str, int], n: int) -> DataFrame:
+def line_scores(lines: DataFrame, rows: list[tuple[int, str, str, float]], counts: DataFrame, n: int) -> DataFrame:
     """(line, licence, cosine) for each line that shares a term with a template: its best licence. Ties go to the first template.
 
-    A term that no template has weighs as much in a line as one that no document has.
+    counts has (term, n): of the n documents, how many have the term. Terms of the lines that aren't there are in one document.
     """
     spark = lines.sparkSession
-    most = math.log(n + 1) + 1
-    idf = spark.createDataFrame([(t, math.log((n + 1) / (d + 1)) + 1) for t, d in df.items()], "term string, idf double")
-    found = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    weighed = found.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(most)))
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    lines = materialize(lines.select("line", F.monotonically_increasing_id().alias("at")))  # the shuffles carry numbers for the texts
+    idf = counts.select("term", (F.log(F.lit(n + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+    found = lines.select("at", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term")).groupBy("at", "term").agg(F.count("*").alias("tf"))
+    weighed = found.join(idf, "term", "left").select("at", "term", (F.col("tf") * F.coalesce("idf", F.lit(math.log((n + 1) / 2) + 1))).alias("w"))
+    norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     templates = spark.createDataFrame(rows, "template int, licence string, term string, weight double")
-    dots = weighed.join(templates, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "line").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-    return scored.groupBy("line").agg(F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"), F.max("cosine").alias("cosine"))
+    dots = weighed.join(templates, "term").groupBy("at", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "at").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+    best = scored.groupBy("at").agg(F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"), F.max("cosine").alias("cosine"))
+    return best.join(lines, "at").select("line", "licence", "cosine")
 
 
 def ancestors(path: Column) -> Column:
@@ -85,7 +86,7 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     'inherited' from the nearest directory above with a licence file, or null.
 
     Every line of every text that has a licence word is compared, by the cosine of TF-IDF vectors, with the templates; the inverse document
-    frequencies are counted over all documents for the templates' terms. A text's licence is that of its line of the highest cosine, if that
+    frequencies are counted over all documents for all terms. A text's licence is that of its line of the highest cosine, if that
     is threshold or more; ties go to the name that sorts first. A licence file has a name like LICENSE, or notices make up file_share of its
     words. A directory's licence is that of its file of the highest cosine; ties go to the name that sorts first.
 
@@ -98,13 +99,13 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     words = F.regexp_extract_all(F.lower(col(text)), F.lit(TERM), 0)
     base = docs.where(col(key).isNotNull()).select(col(key).alias("id"), path.alias("path"), col(text).alias("t"))
-    known = F.array_intersect(words, F.array(*[F.lit(v) for v in vocabulary]))
     n = docs.count()
-    df = {r["term"]: r["n"] for r in docs.select(F.explode(known).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    df = {t: df.get(t, 0) for t in vocabulary}
+    counts = materialize(docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("term").isin(vocabulary)))
+    df = dict.fromkeys(vocabulary, 0) | {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}
+    rows = template_rows(templates, df, n)
     cued = base.where(F.lower("t").rlike(CUE))
     lines = materialize(cued.select("id", "path", F.regexp_count("t", F.lit(TERM)).alias("n_terms"), F.explode(F.filter(F.split("t", r"[\r\n]+"), lambda x: F.lower(x).rlike(CUE))).alias("line")))
-    scores = line_scores(lines.select("line").distinct(), template_rows(templates, df, n), df, n).where(F.col("cosine") >= threshold)
+    scores = line_scores(lines.select("line").distinct(), rows, counts, n).where(F.col("cosine") >= threshold)
     hits = lines.join(scores, "line")
     best = F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence")))
     own = materialize(

@@ -90,3 +90,16 @@ def test_nulls_ties_and_clashes(table):
 
 def test_empty(table):
     assert scan(table([], DOCS))[0] == {}
+
+
+LINE = "This document was released under the MIT License."
+
+
+def test_scores_are_alike_at_every_size(table):
+    texts = [LINE, *["this document was about the river", PROSE, "a document of the old days was here", "weather and rivers"] * 12]
+    scores = []
+    for times in (1, 60):
+        got, _ = scan(table([(i, x, f"a/{i}") for i, x in enumerate(texts * times)], DOCS))
+        assert got[0, "a/0"][0] == "MIT"
+        scores.append(got[0, "a/0"][1])
+    assert scores[0] == pytest.approx(scores[1], abs=0.02)
