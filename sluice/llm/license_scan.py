@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal public domain dedication."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
-#: Lines with none of these aren't compared with templates; each template has one.
+#: What notices usually have. Each template has one; texts aren't chosen by it.
 CUE = r"licen[cs]e|copyright|permission|free software|redistribut|public domain|all rights reserved"
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
@@ -57,6 +58,45 @@ def template_rows(templates: tuple[tuple[str, str], ...], df: Mapping[str, int],
     return out
 
 
+def signature(rows: list[tuple[int, str, str, float]], df: Mapping[str, int], threshold: float) -> list[str]:
+    """Terms of which a text has at least one if its cosine to any template is threshold or more.
+
+    Of each template the commonest terms are left out as long as their weights alone are shorter than the threshold, which bounds the cosine.
+    """
+    out: set[str] = set()
+    for i in {r[0] for r in rows}:
+        room = max(threshold - 1e-6, 0) ** 2
+        for term, weight in sorted(((t, w) for k, _, t, w in rows if k == i), key=lambda x: (-df.get(x[0], 0), x[0])):
+            room -= weight * weight
+            if room <= 0:
+                out.add(term)
+    return sorted(out)
+
+
+def runs(longest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of texts (id, path, n_terms, lines), lines being (line, n, marked), all runs of adjacent lines with a marked one whose lines but the last
+    have fewer than longest terms: (id, path, n_terms, lo, hi, n, line)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, path, n_terms, lines in batch.itertuples(index=False):
+                lines = list(lines)
+                coming, at = [len(lines)] * len(lines), len(lines)  # the next marked line
+                for k in range(len(lines) - 1, -1, -1):
+                    at = coming[k] = k if lines[k]["marked"] else at
+                for lo in range(len(lines)):
+                    n, hi = 0, lo
+                    while hi < len(lines) and n < longest:
+                        n += lines[hi]["n"]
+                        hi += 1
+                        if coming[lo] < hi:
+                            out.append((i, path, n_terms, lo, hi, n, "\n".join(x["line"] for x in lines[lo:hi])))
+            yield pd.DataFrame(out, columns=["id", "path", "n_terms", "lo", "hi", "n", "line"])
+
+    return cut
+
+
 def line_scores(lines: DataFrame, rows: list[tuple[int, str, str, float]], counts: DataFrame, n: int) -> DataFrame:
     """(line, licence, cosine) for each line that shares a term with a template: its best licence. Ties go to the first template.
 
@@ -85,10 +125,11 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     """docs with columns license, license_score and license_origin: 'file' for licence files, 'header' for other texts with a notice,
     'inherited' from the nearest directory above with a licence file, or null.
 
-    Every line of every text that has a licence word is compared, by the cosine of TF-IDF vectors, with the templates; the inverse document
-    frequencies are counted over all documents for all terms. A text's licence is that of its line of the highest cosine, if that
-    is threshold or more; ties go to the name that sorts first. A licence file has a name like LICENSE, or notices make up file_share of its
-    words. A directory's licence is that of its file of the highest cosine; ties go to the name that sorts first.
+    Every line of every text, and every run of adjacent lines about as long as the longest template, so that notices may be wrapped, is compared
+    by the cosine of TF-IDF vectors with the templates; lines without terms don't part a run. The inverse document frequencies are counted over
+    all documents for all terms. Only runs that can't reach threshold for want of rare terms of the templates go unscored. A text's licence is
+    that of its run of the highest cosine, if that is threshold or more; ties go to the name that sorts first. A licence file has a name like
+    LICENSE, or notices make up file_share of its words, where of overlapping runs the best one counts. A directory's licence is that of its file of the highest cosine; ties go to the name that sorts first.
 
     Null and empty texts have no notice and may inherit. A null path has no directories and inherits nothing. Rows with a null key are never
     given a licence; of rows that repeat a key one stays. Texts and lines of any length are scanned whole. An empty table gives an empty one.
@@ -103,14 +144,23 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     counts = materialize(docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("term").isin(vocabulary)))
     df = dict.fromkeys(vocabulary, 0) | {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}
     rows = template_rows(templates, df, n)
-    cued = base.where(F.lower("t").rlike(CUE))
-    lines = materialize(cued.select("id", "path", F.regexp_count("t", F.lit(TERM)).alias("n_terms"), F.explode(F.filter(F.split("t", r"[\r\n]+"), lambda x: F.lower(x).rlike(CUE))).alias("line")))
+    marks = F.array(*[F.lit(t) for t in signature(rows, df, threshold)])
+    of_line = F.transform(F.split("t", r"[\r\n]+"), lambda x: F.struct(x.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(TERM), 0).alias("terms")))
+    split = F.transform(F.filter(of_line, lambda x: F.size(x["terms"]) > 0), lambda x: F.struct(x["line"].alias("line"), F.size(x["terms"]).alias("n"), F.arrays_overlap(x["terms"], marks).alias("marked")))
+    marked = base.where(F.arrays_overlap(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0), marks)).select("id", "path", F.regexp_count("t", F.lit(TERM)).alias("n_terms"), split.alias("lines"))
+    kind = f"id {docs.schema[key].dataType.simpleString()}, path string, n_terms int, lo int, hi int, n int, line string"
+    lines = materialize(marked.mapInPandas(runs(max(len(terms(x)) for _, x in templates)), kind))
     scores = line_scores(lines.select("line").distinct(), rows, counts, n).where(F.col("cosine") >= threshold)
-    hits = lines.join(scores, "line")
+    hits = materialize(lines.join(scores, "line").drop("line"))
+    # a run counts if on none of its lines a better one, or one as good and shorter, lies
+    rank = F.struct((-F.col("cosine")).alias("c"), (F.col("hi") - F.col("lo")).alias("size"), F.col("lo").alias("lo"))
+    first = hits.select("id", "lo", "hi", "cosine", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("at")).groupBy("id", "at").agg(F.min(rank).alias("r"))
+    whole = first.groupBy("id", F.col("r.lo").alias("lo"), (F.col("r.lo") + F.col("r.size")).alias("hi")).agg(F.count("*").alias("held")).where("held = hi - lo")
+    hits = hits.join(whole, ["id", "lo", "hi"])
     best = F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence")))
     own = materialize(
         hits.groupBy("id", "path", "n_terms")
-        .agg(best.alias("b"), F.sum(F.regexp_count("line", F.lit(TERM))).alias("noticed"))
+        .agg(best.alias("b"), F.sum("n").alias("noticed"))
         .select("id", "path", "b.licence", "b.cosine", (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("noticed") >= file_share * F.col("n_terms"))).alias("is_file"))
     )
     directory = F.concat(F.element_at(ancestors(F.col("path")), -1))

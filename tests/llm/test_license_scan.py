@@ -103,3 +103,14 @@ def test_scores_are_alike_at_every_size(table):
         assert got[0, "a/0"][0] == "MIT"
         scores.append(got[0, "a/0"][1])
     assert scores[0] == pytest.approx(scores[1], abs=0.02)
+
+
+def test_wrapped_notices(table):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    mit = "MIT License\n\nCopyright (c) 2024 Example\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"
+    body = "\n".join([PROSE] * 8)
+    rows = [(1, f"{mpl}\n\n{body}", "m"), (2, f"{body}\nReleased under\nthe MIT\nLicense.\n{body}", "r"), (3, f"{gpl}\n{body}", "g"), (4, mit, "x/LICENSE"), (5, apache, "y/LICENSE"), (6, body, "y/z")]
+    got = {i: (l, o) for (i, _), (l, _, o) in scan(table(rows + [(i, body, None) for i in range(10, 60)], DOCS))[0].items()}
+    assert [got[i] for i in range(1, 7)] == [("MPL-2.0", "header"), ("MIT", "header"), ("GPL-3.0", "header"), ("MIT", "file"), ("Apache-2.0", "file"), ("Apache-2.0", "inherited")]
