@@ -20,6 +20,8 @@ WINDOW, STRIDE = 32, 16
 #: Rows of the hashed word and character tables, and widths of an embedding and of a direction's state.
 ROWS, WIDTH, STATE = 1 << 15, 8, 8
 _KEPT = 500_000
+#: Characters of a word, at most, and of the pieces of longer runs; half of each piece lies in the next.
+LONG, PIECE = 128, 12
 #: Factors of the inputs of the update, reset and new gates.
 _HALVED = np.repeat(np.array([0.5, 0.5, 1], np.float32), STATE)
 
@@ -28,9 +30,21 @@ def word_row(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % ROWS
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text. Those of over LONG characters are parted at underscores, and parts still longer are cut into overlapping pieces."""
+    words = _WORD.findall(text.lower())
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    out: list[str] = []
+    for w in words:
+        for part in [w] if len(w) <= LONG else re.findall("[^_]+", w) or [w]:
+            out += [part] if len(part) <= LONG else [part[i : i + PIECE] for i in range(0, len(part) - PIECE // 2, PIECE // 2)]
+    return out
+
+
 def gram_rows(word: str) -> list[int]:
-    """Rows of the distinct character 3- to 5-grams of the word with its borders; of its first 64 characters and last 64 if it is longer than 128."""
-    w = f"<{word if len(word) <= 128 else word[:64] + word[-64:]}>"
+    """Rows of the distinct character 3- to 5-grams of the word with its borders."""
+    w = f"<{word}>"
     grams = {w[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))}
     return sorted(xxhash.xxh32_intdigest(g.encode("utf-8", "replace"), 1) % ROWS for g in grams)
 
@@ -128,7 +142,7 @@ class Model:
                 np.maximum.at(best, owners[k : k + 1024], self.logits(windows[k : k + 1024]))
 
         for i, text in enumerate(texts):
-            words = _WORD.findall(text.lower()) if text else []
+            words = words_of(text) if text else []
             if not words:
                 continue
             if len(self.kept) > _KEPT:
@@ -218,7 +232,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 240
     times, so that the classes weigh alike, and up to bag windows of a text are drawn each time. A text is taken to be toxic if one of its windows is.
     """
     rng = np.random.default_rng(seed)
-    at = [(_WORD.findall(t.lower()), y) for t, y in zip(texts, labels) if t]
+    at = [(words_of(t), y) for t, y in zip(texts, labels) if t]
     at = [(w, y) for w, y in at if w]
     at = [at[i] for i in rng.permutation(len(at))]
     held, fit = at[: len(at) // 5], at[len(at) // 5 :]
@@ -293,7 +307,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """docs with columns toxic_score (of the worst of all overlapping windows, in [0, 1]) and toxic_flag (score over the fitted threshold).
 
     The model is fitted on up to per_class labelled texts of each class; labels has (doc_id, toxic). With no text of one of the classes there
-    is no model: scores are null and no flag is set. Null, empty and wordless texts score 0. Texts are scored whole, whatever their length.
+    is no model: scores are null and no flag is set. Null, empty and wordless texts score 0. Texts are scored whole, whatever their length,
+    and so are runs without spaces, in pieces.
     Rows with a null key are scored like others. Repeated rows and ties score alike. An empty table gives an empty one. Where other columns
     have these names, those of the new ones get longer.
     """

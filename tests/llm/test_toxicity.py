@@ -133,3 +133,19 @@ def test_without_one_of_the_classes_nothing_goes(table):
     for labels in ([], [(1, 0)], [(1, 1)]):
         assert keep_clean(docs, table(labels, LABELS)).count() == 2
     assert score(table([], DOCS), table([], LABELS)).collect() == []
+
+
+@pytest.mark.parametrize("run", ["_".join, "".join])
+def test_toxic_passage_inside_one_long_run(model, prose, rng, run):
+    clean = [prose(rng, 120, 300).split() for _ in range(6)]
+    toxic = [[*w[:60], *(rng.choice(BAD) for _ in range(8)), *w[60:]] for w in clean]
+    low, high = model.scores([run(w) for w in clean]), model.scores([run(w) for w in toxic])
+    assert (high > low).all() and (high > model.threshold).all()
+
+
+def test_long_runs_are_read_whole():
+    run = "".join(chr(0x4E00 + i) for i in range(1001))
+    pieces = tox.words_of(f"a {run} b_c")
+    assert pieces[0] == "a" and pieces[-1] == "b_c" and max(map(len, pieces)) <= tox.LONG
+    assert all(any(run[i : i + 5] in p for p in pieces) for i in range(len(run) - 4))
+    assert tox.words_of("_" * 300)
