@@ -57,3 +57,27 @@ def test_whole_table_survives_but_for_copies(spark):
     out = exact_dedup(docs)
     assert out.count() == docs.select("text").distinct().count()
     assert out.agg(F.countDistinct("doc_id")).first()[0] == out.count()
+
+
+@pytest.mark.parametrize("options", [{}, {"max_filter_mb": 0}])
+def test_only_rows_that_may_repeat_are_shuffled(spark, options):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    flagged = maybe_repeated(docs, "text", **options)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert kept(exact_dedup(docs, **options)) == kept(exact_dedup(docs))
+
+
+def test_a_group_of_files_at_a_time(spark, table, rng, tmp_path):
+    rows = [(i, f"text {rng.randrange(300)}") for i in range(900)]
+    table(rows, DOCS).repartition(6).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    flagged = maybe_repeated(docs, "text", max_filter_mb=0)
+    assert flagged.count() == 900 and flagged._jdf.queryExecution().optimizedPlan().toString().count("Relation") == len(docs.inputFiles()) > 1
+    assert kept(exact_dedup(docs, max_filter_mb=0)) == brute(rows)
+
+
+def test_text_of_a_third_of_the_rows(table):
+    rows = [(i, "same" if i % 3 == 0 else f"t{i}") for i in range(3000)]
+    for options in ({}, {"max_filter_mb": 0}):
+        assert kept(exact_dedup(table(rows, DOCS).repartition(4), **options)) == brute(rows)
