@@ -70,7 +70,7 @@ def _probe(bits: dict[int, np.ndarray], shard: np.ndarray, at: np.ndarray) -> np
 def _is_scan(df: DataFrame) -> bool:
     """Whether df is a Parquet table as it lies in its files, so that file and place name a row."""
     plan = df._jdf.queryExecution().analyzed()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and "Parquet" in plan.relation().toString()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet"
 
 
 def _pack_places(group: pa.Table) -> pa.Table:
