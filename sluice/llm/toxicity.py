@@ -170,9 +170,10 @@ def _forward_backward(m: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -
         xs = x @ m.w[d] + m.b[d]
         for t in range(length) if d == 0 else range(length - 1, -1, -1):
             g = h @ m.u[d]
-            z, r = sigmoid(xs[t, :, :STATE] + g[:, :STATE]), sigmoid(xs[t, :, STATE : 2 * STATE] + g[:, STATE : 2 * STATE])
-            c = np.tanh(xs[t, :, 2 * STATE :] + r * g[:, 2 * STATE :])
-            steps.append((t, h, z, r, c, g[:, 2 * STATE :]))
+            gates = np.tanh((xs[t, :, : 2 * STATE] + g[:, : 2 * STATE]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+            z, r, gc = gates[:, :STATE], gates[:, STATE:], g[:, 2 * STATE :]
+            c = np.tanh(xs[t, :, 2 * STATE :] + r * gc)
+            steps.append((t, h, z, r, c, gc))
             h = h + z * (c - h)
             H[t, :, d * STATE : (d + 1) * STATE] = h
         tape.append(steps)
@@ -225,11 +226,19 @@ class Adam:
         value[rows] -= self.rate * (m[rows] / (1 - 0.9**self.t)) / (np.sqrt(v[rows] / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 240, bag: int = 12, seed: int = 3, batch: int = 48, rate: float = 0.02) -> Model | None:
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 240, seed: int = 3, batch: int = 48, rate: float = 0.02) -> Model | None:
     """A model fitted on four fifths of the texts, its threshold on the other fifth; None unless both labels are there.
 
     There are epochs epochs, or as many as it takes to make steps steps where the texts are few. In each, texts of the rarer class come several
-    times, so that the classes weigh alike, and up to bag windows of a text are drawn each time. A text is taken to be toxic if one of its windows is.
+    times, so that the classes weigh alike. All windows of a text are read each time; it is taken to be toxic if one of them is.
     """
     rng = np.random.default_rng(seed)
     at = [(words_of(t), y) for t, y in zip(texts, labels) if t]
@@ -255,27 +264,23 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, steps: int = 240
             chosen = [numbered[j] for j in order[i : i + batch]]
             windows, owners = [], []
             for k, (ids, _) in enumerate(chosen):
-                s = starts(len(ids))
-                for j in rng.choice(len(s), min(bag, len(s)), replace=False):
-                    own = ids[s[j] : s[j] + WINDOW]
-                    windows.append(np.resize(own, WINDOW))  # a short text is repeated here; in scoring it has windows of its own length
-                    owners.append(k)
-            ids = np.stack(windows)
+                s = np.array(starts(len(ids)))
+                # a short text is repeated here; in scoring it has windows of its own length
+                windows.append(np.resize(ids, WINDOW)[None] if len(ids) < WINDOW else ids[s[:, None] + np.arange(WINDOW)])
+                owners.append(np.full(len(s), k))
+            ids = np.concatenate(windows)
             unique, inverse = np.unique(ids, return_inverse=True)
             rows = [grams_of[j] for j in unique]
             sizes = np.array([len(r) for r in rows])
             flat, scale = np.concatenate(rows), np.sqrt(sizes)[:, None].astype(np.float32)
             ends = np.cumsum(sizes) - sizes
             x = np.concatenate([m.words[word_of[unique]], np.add.reduceat(m.grams[flat], ends, axis=0) / scale], axis=1)
-            _, grad, dx = _forward_backward(m, x[inverse.reshape(ids.shape)].transpose(1, 0, 2), np.array(owners), np.array([y for _, y in chosen], np.float32))
-            du = np.zeros_like(x)
-            np.add.at(du, inverse.reshape(ids.shape).T, dx)
+            _, grad, dx = _forward_backward(m, x[inverse.reshape(ids.shape)].transpose(1, 0, 2), np.concatenate(owners), np.array([y for _, y in chosen], np.float32))
+            _, du = _summed(inverse.reshape(ids.shape).T.ravel(), dx.reshape(-1, 2 * WIDTH))
             for name, g in grad.items():
                 adam.step(name, getattr(m, name), g)
             for name, own, d in (("words", word_of[unique], du[:, :WIDTH]), ("grams", flat, np.repeat(du[:, WIDTH:] / scale, sizes, axis=0))):
-                at_rows, back = np.unique(own, return_inverse=True)
-                total = np.zeros((len(at_rows), WIDTH), np.float32)
-                np.add.at(total, back, d)
+                at_rows, total = _summed(own, d)
                 adam.step(name, getattr(m, name), total, at_rows)
     m.threshold = pick_threshold(m.scores([" ".join(w) for w, _ in held]), np.array([y for _, y in held]))
     return m
