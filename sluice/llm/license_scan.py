@@ -13,22 +13,48 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, materialize, one_row_per_id, table
 
-#: Notices by SPDX identifier; a licence may have several.
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_APACHE = "Licensed under the Apache License, Version 2.0"
+#: The GNU licences by name, version and what their notices call the work.
+_GNU = (("GPL", "General Public License", ("2", "3"), "program"), ("LGPL", "Lesser General Public License", ("2.1", "3"), "library"), ("AGPL", "Affero General Public License", ("3",), "program"))
+
+
+def _gnu() -> list[tuple[str, str]]:
+    """For each version the title of the licence's text, the notice of a line, and the one of a file header."""
+    out = []
+    for short, name, versions, work in _GNU:
+        for v in versions:
+            spdx, by = f"{short}-{v if '.' in v else v + '.0'}", ";" if v[0] == "2" else ","
+            out.append((spdx, f"GNU {name}, version {v}"))
+            out.append((spdx, f"This {'work' if short == 'GPL' else work} is licensed under the GNU {name}, version {v}."))
+            out.append((spdx, f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{by} either version {v} of the License, or (at your option) any later version."))
+    return out
+
+
+#: Notices and licence texts by SPDX identifier; a licence may have several.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("MIT", _GRANT),
+    ("MIT", f"MIT License. {_GRANT}, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY}"),
+    ("Apache-2.0", f"{_APACHE}."),
+    ("Apache-2.0", f"{_APACHE} (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", f"{_APACHE} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004. http://www.apache.org/licenses/ Terms and conditions for use, reproduction, and distribution"),
+    *_gnu(),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-3-Clause", _BSD),
+    ("BSD-3-Clause", f"{_BSD}: {_CLAUSES} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", f"{_BSD}: {_CLAUSES}"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -37,10 +63,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal public domain dedication."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
-#: What notices usually have. Each template has one; texts aren't chosen by it.
-CUE = r"licen[cs]e|copyright|permission|free software|redistribut|public domain|all rights reserved"
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+#: Files with an ending other than those of texts are no licence files, however much of them is a notice.
+OTHER_NAME = r"(?i)\.(?!(?:txt|md|rst|html?|adoc)$)[a-z]\w*$"
 
 
 def terms(text: str) -> list[str]:
@@ -129,7 +155,8 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     by the cosine of TF-IDF vectors with the templates; lines without terms don't part a run. The inverse document frequencies are counted over
     all documents for all terms. Only runs that can't reach threshold for want of rare terms of the templates go unscored. A text's licence is
     that of its run of the highest cosine, if that is threshold or more; ties go to the name that sorts first. A licence file has a name like
-    LICENSE, or notices make up file_share of its words, where of overlapping runs the best one counts. A directory's licence is that of its file of the highest cosine; ties go to the name that sorts first.
+    LICENSE, or notices make up file_share of its words (where of overlapping runs the best one counts) and its name hasn't the ending of
+    a source file. A directory's licence is that of its file of the highest cosine; ties go to the name that sorts first.
 
     Null and empty texts have no notice and may inherit. A null path has no directories and inherits nothing. Rows with a null key are never
     given a licence; of rows that repeat a key one stays. Texts and lines of any length are scanned whole. An empty table gives an empty one.
@@ -161,7 +188,7 @@ def license_scan(docs: DataFrame, path: Column, text: str = "text", key: str = "
     own = materialize(
         hits.groupBy("id", "path", "n_terms")
         .agg(best.alias("b"), F.sum("n").alias("noticed"))
-        .select("id", "path", "b.licence", "b.cosine", (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("noticed") >= file_share * F.col("n_terms"))).alias("is_file"))
+        .select("id", "path", "b.licence", "b.cosine", F.coalesce(F.col("path").rlike(FILE_NAME) | ~F.col("path").rlike(OTHER_NAME) & (F.col("noticed") >= file_share * F.col("n_terms")), F.col("noticed") >= file_share * F.col("n_terms")).alias("is_file"))
     )
     directory = F.concat(F.element_at(ancestors(F.col("path")), -1))
     of_directory = own.where("is_file AND path IS NOT NULL").groupBy(directory.alias("dir")).agg(best.alias("b")).select("dir", "b.licence", "b.cosine")
