@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sluice.llm.embedding_dedup import embedding_dedup, groups, near_pairs, permutations, unit
+from sluice.llm.embedding_dedup import FOOTRULE, SHARED, embedding_dedup, groups, index_size, near_pairs, permutations, shared_pivots, unit
 
 VECTORS = "vec_id bigint, embedding array<float>"
 
@@ -54,6 +54,31 @@ def test_permutations():
     assert (permutations(x, p, 7) == want).all()
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 30_000_000])
+def test_index_keeps_nine_of_ten_pairs_at_every_size(n):
+    pivots, kept = index_size(n)
+    rng = np.random.default_rng(3)
+    made = lambda k: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(k, 64)))
+    points, x, z = made(pivots), made(2000), made(2000)
+    z -= (z * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    shared, moved = shared_pivots(permutations(x, points, kept), permutations(y, points, kept))
+    assert ((shared >= SHARED) & (moved <= FOOTRULE)).mean() >= 0.9
+
+
+def test_shared_pivots():
+    shared, moved = shared_pivots(np.array([[1, 2, 3], [1, 2, 3], [1, 2, 3]]), np.array([[1, 2, 3], [3, 2, 1], [7, 8, 9]]))
+    assert shared.tolist() == [3, 3, 0] and moved.tolist() == [0, 4 / 12, 1]
+
+
+def test_each_width_has_its_index(table):
+    x, y = planted(7, 60), planted(8, 30, 40)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    got = {(r["u"], r["v"]) for r in near_pairs(table(rows, "node bigint, v array<float>")).collect()}
+    want = brute(unit([v.tolist() for v in x], 64), 0.95) | {(1000 + a, 1000 + b) for a, b in brute(unit([v.tolist() for v in y], 40), 0.95)}
+    assert got <= want and len(got) >= 0.9 * len(want) and any(u >= 1000 for u, _ in got)
+
+
 def test_groups_keep_the_least(table):
     x = planted(4, 60)
     a, b = x[0], x[1]
