@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, table
+from sluice.llm.common import is_scan, materialize, table
 from sluice.llm.exact_dedup import exact_dedup
 from sluice.llm.mixing import mix
 from sluice.llm.packing import pack
@@ -35,10 +35,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of tokens. Shards are runs of 4096 rows of a file, so that each holds neighbours in the mix and they follow it by name. Rows that
-    come from no files go to shards by a hash."""
-    if not docs.inputFiles():
-        return pack(docs)
+    """Training windows with their token ids. Shards are runs of 4096 rows of a file, so that each holds neighbours in the mix and they follow it
+    by name; rows that don't lie in files are written to the shared folder first."""
+    if not is_scan(docs):
+        docs = materialize(docs)
     at = docs.metadataColumn("_metadata")
     return pack(docs, shard=F.concat_ws("/", F.regexp_extract(at["file_name"], r"^(part-\d+)", 1), F.lpad(F.floor(at["row_index"] / 4096).cast("string"), 9, "0")))
 
