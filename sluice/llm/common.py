@@ -43,6 +43,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is a Parquet table as it lies in its files, so that file and place name a row."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet"
+
+
 def row_order(df: DataFrame, key: str) -> Column:
     """An order of rows for ties: key (nulls last), then a hash of the other columns (maps, which can't be hashed, left out)."""
     rest = [col(f.name) for f in df.schema.fields if not _has_map(f.dataType)]

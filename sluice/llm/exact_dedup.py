@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, first_rows, fresh, materialize, table
+from .common import col, first_rows, fresh, is_scan, materialize, table
 
 #: Bits of one shard of the filter.
 SHARD = 1 << 20
@@ -67,12 +67,6 @@ def _probe(bits: dict[int, np.ndarray], shard: np.ndarray, at: np.ndarray) -> np
     return out
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether df is a Parquet table as it lies in its files, so that file and place name a row."""
-    plan = df._jdf.queryExecution().analyzed()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet"
-
-
 def _pack_places(group: pa.Table) -> pa.Table:
     """One bit for each row of a piece of a file, set for the places given."""
     bits = np.zeros(PIECE, bool)
@@ -147,7 +141,7 @@ def maybe_repeated(docs: DataFrame, text: str, bits_per_row: int = 12, n_hashes:
     n = docs.count()
     shards, most = max(1, -(-n * bits_per_row // SHARD)), max_filter_mb << 20
     large = shards * SHARD // 8 > most
-    if large and not _is_scan(docs):
+    if large and not is_scan(docs):
         docs = materialize(docs)
     h, maybe = fresh(docs, "text_hash", "maybe_repeated")
     hashes = docs.where(col(text).isNotNull()).select(F.xxhash64(col(text)).alias("h"))

@@ -6,8 +6,11 @@ if importlib.util.find_spec("corpus_pipeline") is None:
     pytest.skip("no pipeline", allow_module_level=True)
 
 import corpus_pipeline  # noqa: E402
+from sluice.llm.chat import TOKENIZER, encoding  # noqa: E402
 from sluice.llm.common import materialize  # noqa: E402
 
+ENC, _ = encoding(TOKENIZER)
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BAD = "vile scum filth rot"
 
@@ -45,10 +48,10 @@ def test_stages(spark, folder):
     assert not {i for i in ids["exact dedup"] if 2000 <= i < 2040 and i - 2000 in ids["toxicity"]}
     assert set(ids["near dedup"]) == {i for i in ids["exact dedup"] if not (3000 <= i < 3040 and i - 2950 in ids["toxicity"])}
     assert ids["mixing"] == ids["near dedup"]
-    length = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect() if r["doc_id"] is not None}
+    length = {r["doc_id"]: len(ENC.encode_ordinary(r["text"] or "")) for r in docs.collect() if r["doc_id"] is not None}
     packed = {}
     for r in bins:
-        assert r["used"] == sum(r["lengths"]) <= 2048
+        assert r["used"] == sum(r["lengths"]) == len(r["input_ids"]) <= 2048
         for i, n in zip(r["doc_ids"], r["lengths"]):
             packed[i] = packed.get(i, 0) + n
     assert packed == {i: n for i, n in length.items() if n}
@@ -68,7 +71,7 @@ def test_packing_with_clashing_columns_and_without_files(spark, table, tmp_path)
     df.write.parquet(f"{tmp_path}/mixed")
     for docs in (spark.read.parquet(f"{tmp_path}/mixed"), df):
         bins = corpus_pipeline.packed(spark, docs, "").collect()
-        assert sorted(i for r in bins for i in r["doc_ids"]) == list(range(50)) and sum(r["used"] for r in bins) == 200
+        assert sorted(i for r in bins for i in r["doc_ids"]) == list(range(50)) and sum(r["used"] for r in bins) == sum(len(ENC.encode_ordinary(f"a b c {i}")) for i in range(50))
 
 
 def test_registered():
