@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..plans import ast
 from ..plans.lexer import QueryError
 from ..plans.timespec import SECONDS, UNIT, relative_column, spark_format
-from .values import NUMERIC, Value, array, col, constant, is_numeric_text, kind_of, number, plain, text, whole
+from .values import NUMERIC, Value, array, col, constant, decimal, is_numeric_text, kind_of, number, plain, shown, text, whole
 
 REGISTRY: dict[str, Callable] = {}
 
@@ -111,12 +111,25 @@ def compare(op: str, a: Value, b: Value) -> Column:
     if a.is_number and b.is_number or {a.kind, b.kind} <= {*NUMERIC, "time"}:
         if a.kind in ("int", "long") and b.kind in ("int", "long"):
             return f(a.column, b.column)
-        return f(number(a), number(b))
+        x, y = decimal(a), decimal(b)
+        return f(x[0], y[0]) if x and y else f(number(a), number(b))
     for x in (a, b):
         if isinstance(x.literal, str) and not is_numeric_text(x.literal):
             return f(text(a), text(b))
     x, y = number(a), number(b)
-    return F.when(x.isNotNull() & y.isNotNull(), f(x, y)).otherwise(f(text(a), text(b)))
+    p, q = (decimal(v)[0] if decimal(v) else text(v).try_cast("decimal(38,18)") for v in (a, b))
+    return F.when(p.isNotNull() & q.isNotNull(), f(p, q)).when(x.isNotNull() & y.isNotNull(), f(x, y)).otherwise(f(text(a), text(b)))
+
+
+def exact_arithmetic(op: str, a: tuple[Column, int, int], b: tuple[Column, int, int]) -> tuple[Column, int, int] | None:
+    """The result of decimals, or None where it might need more than 38 digits."""
+    (x, p, s), (y, q, t) = a, b
+    whole_digits = {"*": p - s + q - t + 1, "%": min(p - s, q - t)}.get(op, max(p - s, q - t) + 1)
+    scale = s + t if op == "*" else max(s, t)
+    if whole_digits + scale > 38 and not (s == t == 0):
+        return None
+    n = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](x, y)
+    return n, min(38, whole_digits + scale), scale
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -128,20 +141,30 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
             if op == "+":
                 return Value(F.concat(text(a), text(b)), "str")
             raise QueryError("Eval arithmetics only allow Strings for the + operator.")
-    if a.kind in ("int", "long") and b.kind in ("int", "long") and op != "/":
-        x, y = a.column.cast("bigint"), b.column.cast("bigint")
-        n = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](x, y)
-        return Value(n.cast("string"), "str", n)
+    p, q = decimal(a), decimal(b)
+    if op != "/" and p and q and (made := exact_arithmetic(op, p, q)):
+        if a.kind in ("int", "long") and b.kind in ("int", "long"):
+            x, y = a.column.cast("bigint"), b.column.cast("bigint")
+            n = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](x, y)
+            return Value(F.coalesce(n.cast("string"), made[0].cast("string")), "str", n, None, made)
+        return Value(shown(made[0]), "str", made[0], None, made)
     x, y = number(a), number(b)
     if op == "/":
         q = F.try_divide(x, y)
         exact = F.round(q, 10)
         ends = F.abs(exact * y - x) <= F.abs(x) * 1e-15
-        shown = F.when(ends, plain(exact)).otherwise(F.round(q, 7).try_cast("decimal(38,7)").cast("string"))
-        result, n = shown, F.when(ends, exact).otherwise(F.round(q, 7))
+        short = F.when(ends, plain(exact)).otherwise(F.round(q, 7).try_cast("decimal(38,7)").cast("string"))
+        result, n = short, F.when(ends, exact).otherwise(F.round(q, 7))
     else:
         n = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "%": lambda: F.try_mod(x, y)}[op]()
-        result = plain(n)
+        # numbers of few digits as decimals, which is exact; others as doubles
+        known = [decimal(v) for v in (a, b)]
+        size = "decimal(19,9)" if op == "*" and not any(k and k[1] <= 8 for k in known) else "decimal(28,9)"
+        wide = [v.column.cast("string") if v.kind == "double" and v.number is None else text(v) for v in (a, b)]
+        few = [k[0] if k and k[1] <= 19 else w.try_cast(size) for k, w in zip(known, wide)]
+        fits = reduce(lambda p, q: p & q, [F.coalesce(w.try_cast("decimal(38,18)") == d, F.lit(False)) for w, d in zip(wide, few)])
+        made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](*few)
+        result = F.when(fits, shown(made)).otherwise(plain(n))
     dynamic = [v for v in (a, b) if not v.is_number and v.kind in ("str", "mv") and v.literal is None]
     if not dynamic:
         return Value(result, "str", n)
@@ -398,13 +421,13 @@ def _sigfig(env, e, written):
     if not isinstance(e, ast.Binary) or e.op not in "+-*/":
         raise QueryError("sigfig takes a sum, difference, product or quotient")
     parts = re.split(r"\s*(?<=[\w.)\s])[-+*/]\s*", written.value.strip(), maxsplit=1)
-    shown = [F.lit(p) if is_numeric_text(p) else text(env.compile(x)) for p, x in zip(parts, (e.left, e.right))]
+    written_as = [F.lit(p) if is_numeric_text(p) else text(env.compile(x)) for p, x in zip(parts, (e.left, e.right))]
     x, y = number(env.compile(e.left)), number(env.compile(e.right))
     n = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[e.op]()
     if e.op in "*/":
-        digits = F.least(*[F.length(F.regexp_replace(F.regexp_replace(s, r"[^0-9]", ""), "^0+(?=.)", "")) for s in shown])
+        digits = F.least(*[F.length(F.regexp_replace(F.regexp_replace(s, r"[^0-9]", ""), "^0+(?=.)", "")) for s in written_as])
     else:
-        digits = F.least(*[F.length(F.regexp_extract(s, r"\.([0-9]*)$", 1)) for s in shown])
+        digits = F.least(*[F.length(F.regexp_extract(s, r"\.([0-9]*)$", 1)) for s in written_as])
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(n))))
     return Value(plain(F.when((n == 0) | (digits == 0), n).otherwise(F.round(n * scale) / scale)), "str", n)
 
@@ -635,7 +658,7 @@ def _mvrange(env, start, end, step=None):
         out = F.when(s <= e, F.sequence(s, e, F.lit(int(m[1]) * SECONDS[UNIT[m[2]]]).cast("bigint")))
     else:
         n = whole(by)
-        out = F.when((s < e) & (n > 0), F.filter(F.sequence(s, e, F.when(n > 0, n).otherwise(1)), lambda x: x < e))
+        out = F.when((s < e) & (n > 0), F.sequence(s, e - 1, F.when(n > 0, n).otherwise(1)))
     return Value(F.coalesce(out, F.array().cast("array<bigint>")).cast("array<string>"), "mv")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,13 +25,15 @@ def col(name: str) -> Column:
 class Value:
     """A column with its kind: int, long, double, str, bool, time, mv (an array of texts), null or other.
 
-    number is the number behind a text that arithmetic made; literal is the Python value of a constant.
+    number is the number behind a text that arithmetic made; literal is the Python value of a constant; exact is the value as a decimal, with
+    its precision and scale, where these are known.
     """
 
     column: Column
     kind: str
     number: Column | None = None
     literal: object = None
+    exact: tuple[Column, int, int] | None = None
 
     @property
     def is_number(self) -> bool:
@@ -62,6 +65,24 @@ def constant(value: object) -> Value:
     return Value(F.lit(value) if value is not None else F.lit(None).cast("string"), kind, None, value)
 
 
+def decimal(v: Value) -> tuple[Column, int, int] | None:
+    """The value as a decimal with its precision and scale, if none of its digits can be lost."""
+    if v.exact is not None:
+        return v.exact
+    if isinstance(v.literal, (int, float)) and not isinstance(v.literal, bool):
+        d = Decimal(repr(v.literal))
+        if not d.is_finite():
+            return None
+        d = d.quantize(Decimal(1)) if d == d.to_integral_value() and d.adjusted() < 28 else d
+        digits, exponent = d.as_tuple().digits, d.as_tuple().exponent
+        precision, scale = max(len(digits), -exponent, 1), max(-exponent, 0)
+        return (F.lit(d).cast(f"decimal({precision},{scale})"), precision, scale) if exponent <= 0 and precision <= 30 else None
+    if v.kind in ("int", "long"):
+        n = 10 if v.kind == "int" else 19
+        return v.column.cast(f"decimal({n},0)"), n, 0
+    return None
+
+
 def text(v: Value) -> Column:
     if v.kind == "str":
         return v.column
@@ -93,6 +114,8 @@ def whole(v: Value) -> Column:
         return v.column.cast("bigint")
     if v.kind == "time":
         return F.unix_timestamp(v.column)
+    if v.exact is not None:
+        return v.exact[0].try_cast("bigint")
     if v.kind == "double" or v.number is not None:
         return number(v).try_cast("bigint")
     return text(v).try_cast("bigint")
@@ -108,6 +131,11 @@ def plain(x: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", ""), x.cast("string"))
 
 
+def shown(x: Column) -> Column:
+    """A decimal without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def is_numeric_text(s: str) -> bool:
     return bool(re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", s))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,12 +53,21 @@ def prefix_match(c: Column, pattern: str) -> Column:
 def field_compare(v: Value, op: str, value: str) -> Column:
     """Numbers by value; otherwise texts, where = and != take wildcards and match in full."""
     if value and is_numeric_text(value):
-        n = F.lit(float(value)) if "." in value or "e" in value.lower() else F.lit(int(value))
+        n_value = float(value) if "." in value or "e" in value.lower() else int(value)
+        n = F.lit(n_value if abs(n_value) < 2**63 else float(n_value))
         f = {"=": lambda a: a == n, "!=": lambda a: a != n, "<": lambda a: a < n, "<=": lambda a: a <= n, ">": lambda a: a > n, ">=": lambda a: a >= n}[op]
+        if v.kind in ("int", "long"):
+            n = F.lit(int(value)) if isinstance(n_value, int) and abs(n_value) < 2**63 else F.lit(Decimal(value.strip()))
+            return f(v.column)
         if v.kind in NUMERIC:
             return f(v.column)
-        x, t = number(v), text(v)
+        x, t, exact = number(v), text(v), text(v).try_cast("decimal(38,18)")
         s = {"=": lambda: t == value, "!=": lambda: t != value, "<": lambda: t < value, "<=": lambda: t <= value, ">": lambda: t > value, ">=": lambda: t >= value}[op]()
+        wanted = Decimal(value.strip())
+        if wanted.adjusted() < 20 and wanted.as_tuple().exponent >= -18:
+            n_exact = F.lit(wanted).cast("decimal(38,18)")
+            of = {"=": exact == n_exact, "!=": exact != n_exact, "<": exact < n_exact, "<=": exact <= n_exact, ">": exact > n_exact, ">=": exact >= n_exact}[op]
+            return F.when(exact.isNotNull(), of).when(x.isNotNull(), f(x)).otherwise(s)
         return F.when(x.isNotNull(), f(x)).otherwise(s)
     t = text(v)
     if op in ("=", "!="):

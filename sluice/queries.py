@@ -60,6 +60,8 @@ PIPES: tuple[tuple[str, str, str | None], ...] = (
     ("eval_command", "index=events | eval a=user_id+1, a=a*2 | fields event_id a", "SELECT event_id, CAST((user_id + 1) * 2 AS VARCHAR) AS a FROM events"),
     # Scalar functions
     ("eval_arithmetic", 'index=events | eval a=user_id+2, b=user_id-7, c=user_id*user_id, d=event_id%7, e=event_id/4, f="ab"+"cd", g=user_id+"x" | fields event_id a b c d e f g', "SELECT event_id, CAST(user_id + 2 AS VARCHAR) AS a, CAST(user_id - 7 AS VARCHAR) AS b, CAST(user_id * user_id AS VARCHAR) AS c, CAST(event_id % 7 AS VARCHAR) AS d, CAST(event_id // 4 AS VARCHAR) || CASE event_id % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' WHEN 3 THEN '.75' ELSE '' END AS e, 'abcd' AS f, user_id || 'x' AS g FROM events"),
+    ("eval_exact", 'index=events | eval a=0.00000000001*1, b=0.1234567890123*1, c=9223372036854775807+event_id, d=9007199254740993+event_id > 9007199254740992.5+event_id, e=event_id*0.1, f=c*2, g=case(9007199254740993>9007199254740992.5,"more") | fields event_id a b c d e f g', "SELECT event_id, '0.00000000001' AS a, '0.1234567890123' AS b, CAST(CAST(9223372036854775807 AS HUGEINT) + event_id AS VARCHAR) AS c, true AS d, regexp_replace(regexp_replace(CAST(CAST(event_id AS DECIMAL(20,1)) * CAST(0.1 AS DECIMAL(2,1)) AS VARCHAR), '0+$', ''), '[.]$', '') AS e, CAST((CAST(9223372036854775807 AS HUGEINT) + event_id) * 2 AS VARCHAR) AS f, 'more' AS g FROM events"),
+    ("search_large_numbers", 'index=events | eval x=9007199254740990+event_id%10 | search x>9007199254740992 x<9007199254740998 | fields event_id', "SELECT event_id FROM events WHERE event_id % 10 BETWEEN 3 AND 7"),
     ("eval_comparison", 'index=events | eval a=case(user_id==3,"eq",user_id!=4,"ne",true(),"four"), b=case(event_type<"d","early",event_type>="s","late"), c=case(value<=10,1,value>90,2) | fields event_id a b c', "SELECT event_id, CASE WHEN user_id = 3 THEN 'eq' WHEN user_id <> 4 THEN 'ne' ELSE 'four' END AS a, CASE WHEN event_type < 'd' THEN 'early' WHEN event_type >= 's' THEN 'late' END AS b, CASE WHEN value <= 10 THEN 1 WHEN value > 90 THEN 2 END AS c FROM events"),
     ("eval_if_case", 'index=events | eval i=if(value>50,"hi","lo"), i=mvindex(i,0), v=validate(value<50,"big",user_id<5,"late user"), c=coalesce(null(),event_type), n=nullif(user_id,3), s=isnull(n), t=isnotnull(n), k=in(event_type,"view","error"), f=false() | eval i=mvjoin(i,"") | fields event_id i v c n s t k f', "SELECT event_id, CASE WHEN value > 50 THEN 'hi' ELSE 'lo' END AS i, CASE WHEN NOT value < 50 THEN 'big' WHEN NOT user_id < 5 THEN 'late user' END AS v, event_type AS c, nullif(user_id, 3) AS n, user_id = 3 AS s, user_id <> 3 AS t, event_type IN ('view', 'error') AS k, false AS f FROM events"),
     ("eval_types", 'index=events | eval a=isbool(true()), b=isint(3), c=isnum(value), d=isstr(event_type), e=typeof(12), f=typeof("s"), g=typeof(1==2), h=tonumber("0A4",16), i=tonumber(event_id), j=tostring(true()), k=tostring(user_id,"hex"), l=tostring(12345.6789,"commas"), m=tostring(3723,"duration") | fields event_id a b c d e f g h i j k l m', "SELECT event_id, true AS a, true AS b, true AS c, true AS d, 'Number' AS e, 'String' AS f, 'Boolean' AS g, CAST(164 AS BIGINT) AS h, event_id AS i, 'true' AS j, '0x' || to_hex(user_id) AS k, '12,345.68' AS l, '01:02:03' AS m FROM events"),
