@@ -14,7 +14,7 @@ from ..functions.values import col, kind_of, number, text
 from ..plans import ast
 from ..plans.lexer import QueryError
 from ..plans.timespec import span_seconds
-from .base import Context, command, event_order, with_columns
+from .base import Context, command, event_order, fresh, with_columns
 from .columns import expand, value_of
 from .order import sort_columns
 
@@ -52,8 +52,9 @@ def timechart(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     span = span_seconds(cmd.options["span"]) if "span" in cmd.options else default_span(ctx)
     by = cmd.options["by"]
     compiled = Aggregates(df)
-    groups = df.groupBy(F.window("_time", f"{span} seconds").alias("_window"), *[col(b).alias(b) for b in by]).agg(*[compiled(a) for a in cmd.args])
-    out = groups.select(F.col("_window.start").alias("_time"), *[col(c) for c in groups.columns if c != "_window"])
+    window, at_name = fresh(df, "_window", "_at")
+    groups = df.groupBy(F.window("_time", f"{span} seconds").alias(window), *[col(b).alias(b) for b in by]).agg(*[compiled(a) for a in cmd.args])
+    out = groups.select(col(window)["start"].alias("_time"), *[col(c) for c in groups.columns if c != window])
     if df.isStreaming:
         return out
     at = lambda t: F.lit(int(t.timestamp())).cast("bigint")
@@ -63,11 +64,11 @@ def timechart(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     step = lambda t: F.floor(t / span) * span
     if ctx.earliest is not None and ctx.latest is not None:
         ends = df.sparkSession.range(1)
-    times = ends.where(lo.isNotNull()).select(F.explode(F.sequence(step(lo), step(hi), F.lit(span).cast("bigint"))).alias("_at"))
-    times = times.select(F.timestamp_seconds("_at").alias("_at"))
-    filled = times.join(out, F.col("_at") == F.col("_time"), "left")
+    times = ends.where(lo.isNotNull()).select(F.explode(F.sequence(step(lo), step(hi), F.lit(span).cast("bigint"))).alias(at_name))
+    times = times.select(F.timestamp_seconds(at_name).alias(at_name))
+    filled = times.join(out, F.col(at_name) == F.col("_time"), "left")
     zero = {"str": F.lit("0"), "int": F.lit(0), "long": F.lit(0), "double": F.lit(0.0)}
-    columns = [F.col("_at").alias("_time")]
+    columns = [F.col(at_name).alias("_time")]
     for f in out.schema.fields[1:]:
         z = zero.get(kind_of(f.dataType))
         columns.append(col(f.name) if z is None else F.coalesce(col(f.name), z.cast(f.dataType)).alias(f.name))
@@ -82,7 +83,7 @@ def eventstats(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     names = [c for c in found.columns if c not in by]
     if not by:
         return df.crossJoin(found) if not set(names) & set(df.columns) else df.drop(*names).crossJoin(found)
-    keys = [f"_by{i}" for i in range(len(by))]
+    keys = fresh(df, *[f"_by{i}" for i in range(len(by))])
     right = found.select(*[col(b).alias(k) for b, k in zip(by, keys)], *[col(n) for n in names])
     joined = df.drop(*names).join(right, reduce(lambda p, q: p & q, [col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]), "left")
     return joined.drop(*keys)
@@ -113,16 +114,19 @@ def dedup(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
         # partial aggregation: a frequent key costs no more than others
         row = F.struct(*[col(c) for c in df.columns])
         return df.groupBy(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(F.min_by(row, F.struct(*event_order(df))).alias("_row")).select("_row.*")
+    (place,) = fresh(df, "_n")
     if o.get("consecutive"):
-        numbered = run_starts(df, names, order, not o["sortby"]).withColumn("_n", F.when(F.col("_new"), 1).otherwise(o["n"] + 1)).drop("_new")
+        marked = run_starts(df, names, order, not o["sortby"])
+        new = marked.columns[-1]
+        numbered = marked.withColumn(place, F.when(col(new), 1).otherwise(o["n"] + 1)).drop(new)
     else:
-        numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*[col(n) for n in names]).orderBy(*order)))
-    keep = F.col("_n") <= o["n"]
+        numbered = df.withColumn(place, F.row_number().over(Window.partitionBy(*[col(n) for n in names]).orderBy(*order)))
+    keep = F.col(place) <= o["n"]
     if o.get("keepempty"):
         keep = keep | reduce(lambda p, q: p | q, [col(n).isNull() for n in names])
     if o.get("keepevents"):
-        return with_columns(numbered, {n: F.when(keep, col(n)) for n in names}).drop("_n")
-    return numbered.where(keep).drop("_n")
+        return with_columns(numbered, {n: F.when(keep, col(n)) for n in names}).drop(place)
+    return numbered.where(keep).drop(place)
 
 
 @command("addtotals", traits=("sequential",))
@@ -163,39 +167,51 @@ PIECES = 256
 
 def piece_of(df: DataFrame) -> Column:
     """The piece of the time line, cut at quantiles of _time, that a row is in; null times come before all."""
-    cuts = df.agg(F.percentile_approx(F.unix_micros("_time"), [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []
-    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.coalesce(F.unix_micros("_time"), F.lit(-(2**62)))))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.unix_micros("_time"), [i / PIECES for i in range(1, PIECES)], 1000)).first()[0] or []))
+    at = F.coalesce(F.unix_micros("_time"), F.lit(-(2**62)))
 
+    def among(lo: int, hi: int) -> Column:
+        """How many of the cuts are below at, if it is lo to hi: by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(at > F.lit(cuts[mid]), among(mid + 1, hi)).otherwise(among(lo, mid))
 
-def running_sum(df: DataFrame, x: Column, into: str) -> DataFrame:
-    """Sum of x over all rows up to each one in the order of events: the sum within the row's piece and the sums of the pieces before, so that no
-    task sorts all rows."""
-    order = event_order(df)
+    return among(0, len(cuts))
+
+
+def running_sums(df: DataFrame, **sums: Column) -> DataFrame:
+    """df with the sum of each column over all rows up to each one in the order of events: the sum within the row's piece and the sums of the
+    pieces before, so that no task sorts all rows. The names must be new."""
+    order, names = event_order(df), list(sums)
     if "_time" not in df.columns or df.isStreaming:
-        return df.withColumn(into, F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = df.withColumns({"_piece": piece_of(df), "_x": x})
-    sums = rows.groupBy("_piece").agg(F.sum("_x").alias("_s"))
-    before = sums.select("_piece", F.sum("_s").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    within = F.sum("_x").over(Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_within", within).join(before, "_piece")
-    total = F.when(F.col("_within").isNull() & F.col("_before").isNull(), F.lit(None)).otherwise(F.coalesce("_within", F.lit(0)) + F.coalesce("_before", F.lit(0)))
-    return out.withColumn(into, total).drop("_piece", "_x", "_within", "_before")
+        return df.withColumns({n: F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for n, x in sums.items()})
+    piece, *parts = fresh(df.withColumns(sums), "_piece", *[f"_before{i}" for i in range(len(names))])
+    rows = df.withColumns({piece: piece_of(df)} | sums)
+    totals = rows.groupBy(piece).agg(*[F.sum(n).alias(n) for n in names])
+    past = Window.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(piece, *[F.sum(n).over(past).alias(b) for n, b in zip(names, parts)])
+    inside = Window.partitionBy(piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({n: F.sum(n).over(inside) for n in names}).join(before, piece)
+    total = lambda n, b: F.when(F.col(n).isNotNull() | F.col(b).isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return out.withColumns({n: total(n, b) for n, b in zip(names, parts)}).drop(piece, *parts)
 
 
 def run_starts(df: DataFrame, names: list[str], order: list[Column], by_time: bool) -> DataFrame:
-    """df with _new: whether a row differs in the names from the one before it. In the order of events a piece of the time line needs only the last
-    row of the piece before."""
+    """df with a last column: whether a row differs in the names from the one before it. In the order of events a piece of the time line needs only
+    the last row of the piece before."""
+    new, last, piece, end, earlier = fresh(df, "_new", "_last", "_piece", "_end", "_before")
     differs = lambda row: reduce(lambda p, q: p | q, [~col(n).eqNullSafe(row[f"k{i}"]) for i, n in enumerate(names)])
     keys = F.struct(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
     if not by_time or "_time" not in df.columns:
-        last = df.withColumn("_last", F.lag(keys).over(Window.orderBy(*order)))
-        return last.withColumn("_new", F.col("_last").isNull() | differs(F.col("_last"))).drop("_last")
-    rows = df.withColumn("_piece", piece_of(df))
-    ends = rows.groupBy("_piece").agg(F.max_by(keys, F.struct(*order)).alias("_end"))
-    before = ends.select("_piece", F.lag("_end").over(Window.orderBy("_piece")).alias("_before"))
-    within = rows.withColumn("_last", F.lag(keys).over(Window.partitionBy("_piece").orderBy(*order)))
-    last = within.join(before, "_piece").withColumn("_last", F.coalesce("_last", "_before"))
-    return last.withColumn("_new", F.col("_last").isNull() | differs(F.col("_last"))).drop("_piece", "_last", "_before")
+        rows = df.withColumn(last, F.lag(keys).over(Window.orderBy(*order)))
+        return rows.withColumn(new, F.col(last).isNull() | differs(F.col(last))).drop(last)
+    rows = df.withColumn(piece, piece_of(df))
+    ends = rows.groupBy(piece).agg(F.max_by(keys, F.struct(*order)).alias(end))
+    before = ends.select(piece, F.lag(end).over(Window.orderBy(piece)).alias(earlier))
+    within = rows.withColumn(last, F.lag(keys).over(Window.partitionBy(piece).orderBy(*order)))
+    found = within.join(before, piece).withColumn(last, F.coalesce(last, earlier))
+    return found.withColumn(new, F.col(last).isNull() | differs(F.col(last))).drop(piece, last, earlier)
 
 
 @command("accum", traits=("sorts",))
@@ -207,14 +223,18 @@ def accum(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
         raise QueryError(f"accum: no field {name}")
     v, target = value_of(df, name), cmd.options["as"]
     t, n = text(v), number(v)
+    total, parts = fresh(df, "_sum", "_parts")
     if v.kind in ("int", "long"):
-        out = running_sum(df, v.column.cast("bigint"), "_sum").withColumn("_shown", F.col("_sum").cast("string"))
+        out = running_sums(df, **{total: v.column.cast("bigint")})
+        value = F.col(total).cast("string")
     else:
-        part = F.when(n.isNotNull() & t.try_cast("bigint").isNull(), 1.0)
-        out = running_sum(running_sum(df, n, "_sum"), part, "_parts")
-        out = out.withColumn("_shown", F.when(F.coalesce(F.col("_parts"), F.lit(0.0)) > 0, F.col("_sum").cast("string")).otherwise(F.col("_sum").try_cast("bigint").cast("string")))
-    shown = F.when(n.isNotNull(), F.col("_shown")) if target else F.when(n.isNotNull(), F.col("_shown")).otherwise(t)
-    return with_columns(out, {target or name: shown}).drop("_sum", "_shown", "_parts").orderBy(*[c for c in (col(x) for x in ("_time", "offset") if x in df.columns and x != (target or name))] or [F.lit(1)])
+        whole = t.try_cast("bigint")
+        out = running_sums(df, **{total: F.when(whole.isNull(), n), parts: F.when(n.isNotNull() & whole.isNull(), 1.0), fresh(df, "_whole")[0]: whole.cast("decimal(19,0)")})
+        rest = out.columns[-1]
+        value = F.when(F.coalesce(F.col(parts), F.lit(0.0)) > 0, (F.col(total) + F.coalesce(col(rest).cast("double"), F.lit(0.0))).cast("string")).otherwise(col(rest).cast("string"))
+    shown = F.when(n.isNotNull(), value) if target else F.when(n.isNotNull(), value).otherwise(t)
+    done = with_columns(out, {target or name: shown})
+    return done.drop(*[c for c in out.columns if c not in df.columns and c != target]).orderBy(*[c for c in (col(x) for x in ("_time", "offset") if x in df.columns and x != (target or name))] or [F.lit(1)])
 
 
 @command("format", traits=("aggregate",))
@@ -277,8 +297,10 @@ def predict(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
     schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (new, up, low)]])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
+    (everything,) = fresh(base, "_all")
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_time", kind="stable").drop(columns="_all").reset_index(drop=True)
+        p = p.sort_values("_time", kind="stable").drop(columns=everything).reset_index(drop=True)
         y = pd.to_numeric(p[name], errors="coerce").fillna(0.0).tolist()
         states, variances = kalman(y, future, trend)
         if future and len(p) > 1:
@@ -292,5 +314,5 @@ def predict(df: DataFrame, cmd: ast.Command, ctx: Context) -> DataFrame:
             p[label] = [m + sign * (level / 100 + 1) * v**0.5 for m, v in zip(states[:n], variances[:n])]
         return p
 
-    return base.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, schema).orderBy("_time")
+    return base.withColumn(everything, F.lit(1)).groupBy(everything).applyInPandas(run, schema).orderBy("_time")
 

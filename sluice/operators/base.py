@@ -51,3 +51,15 @@ def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One projection: columns replaced where they are, new ones at the end; names are taken literally."""
     kept = [new[c].alias(c) if c in new else col(c) for c in df.columns]
     return df.select(*kept, *[v.alias(c) for c, v in new.items() if c not in df.columns])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to clash with no column of df (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

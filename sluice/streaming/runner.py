@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
-from ..functions.values import col
-from ..operators.base import TRAITS, Context, event_order
+from ..functions.values import col, number, text
+from ..operators.base import TRAITS, Context, event_order, fresh
+from ..operators.columns import value_of
 from ..operators.search import filter_frame, time_range
 from ..plans import ast
 from ..plans.lexer import QueryError
@@ -39,32 +40,46 @@ def split(commands: tuple[ast.Command, ...]) -> tuple[tuple[ast.Command, ...], a
 
 
 def running_total(df: DataFrame, cmd: ast.Command) -> DataFrame:
-    """accum over a stream: the sum so far is the state of one group."""
+    """accum over a stream: the sum so far is the state of one group, as whole and other parts, so that no digit of whole numbers is lost and
+    nulls leave it as it is. Only the number and the order of each row pass through the group's task; the row itself goes along as it is."""
     (name,) = cmd.args
     target = cmd.options["as"] or name
-    fields = [f for f in df.schema.fields if f.name != target] + [T.StructField(target, T.StringType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    state_type = T.StructType([T.StructField("total", T.DoubleType()), T.StructField("part", T.BooleanType())])
+    v = value_of(df, name)
+    t, n = text(v), number(v)
+    whole = v.column.cast("bigint") if v.kind in ("int", "long") else t.try_cast("bigint")
+    row, w, p, place, everything = fresh(df, "_row", "_whole", "_part", "_place", "_all")
+    kept = [f for f in df.schema.fields if f.name != target]
+    packed = df.select(
+        F.struct(*[col(f.name) for f in kept]).alias(row), F.when(whole.isNotNull(), whole.cast("string")).alias(w), F.when(whole.isNull(), n).alias(p), F.lit(1).alias(everything),
+        F.coalesce(F.date_format(F.to_timestamp(col("_time")), "yyyy-MM-dd HH:mm:ss.SSSSSS") if "_time" in df.columns else F.lit(""), F.lit("")).alias(place),
+        (F.coalesce(col("offset").cast("bigint"), F.lit(0)) if "offset" in df.columns else F.lit(0).cast("bigint")).alias(f"{place}2"),
+        (F.lit(None).cast("string") if cmd.options["as"] else t).alias("own"),
+    )
+    packed = packed.withColumn(row, F.to_json(F.struct(col(row).alias("r"))))  # pandas would change columns of whole numbers that have nulls
+    state_type = T.StructType([T.StructField("whole", T.StringType()), T.StructField("part", T.DoubleType()), T.StructField("parts", T.BooleanType())])
+    schema = T.StructType([T.StructField(row, T.StringType()), T.StructField(target, T.StringType())])
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, part = state.get if state.exists else (0.0, False)
-        rows = pd.concat(list(frames))
-        by = [c for c in ("_time", "offset") if c in rows.columns]
-        rows = rows.sort_values(by, kind="stable") if by else rows
+        before, part, parts = state.get if state.exists else ("0", 0.0, False)
+        total = int(before)
+        rows = pd.concat(list(frames)).sort_values([place, f"{place}2"], kind="stable")
         out = []
-        for x in rows[name]:
-            n = pd.to_numeric(x, errors="coerce")
-            if pd.isna(n):
-                out.append(None if cmd.options["as"] or pd.isna(x) else str(x))
+        for x, y, own in zip(rows[w], rows[p], rows["own"]):
+            if x is None and pd.isna(y):
+                out.append(own)
                 continue
-            total += float(n)
-            part = part or isinstance(x, float) or "." in str(x)
-            out.append(str(total) if part else str(int(total)))
-        rows[target] = out
-        state.update((total, part))
-        yield rows[[f.name for f in fields]]
-
-    return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandasWithState(step, schema, state_type, "append", "NoTimeout")
+            if x is not None:
+                total += int(x)
+            else:
+                part, parts = part + float(y), True
+            out.append(str(total + part) if parts else str(total))
+        state.update((str(total), part, parts))
+        yield pd.DataFrame({row: rows[row].to_numpy(), target: out})
+
+    found = packed.groupBy(everything).applyInPandasWithState(step, schema, state_type, "append", "NoTimeout")
+    own = T.StructType([T.StructField("r", T.StructType([T.StructField(f.name, f.dataType, True) for f in kept]), True)])
+    back = found.select(F.from_json(col(row), own)["r"].alias(row), col(target).alias(target))
+    return back.select(*[col(row)[f.name].alias(f.name) for f in kept], col(target))
 
 
 class StreamRunner:

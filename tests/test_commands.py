@@ -153,10 +153,10 @@ def test_accum(spark, run):
 
 
 def test_running_sum_by_pieces_is_exact(spark):
-    from sluice.operators.aggregate import running_sum
+    from sluice.operators.aggregate import running_sums
 
     df = spark.range(5000).select(F.timestamp_seconds(F.col("id") * 37 % 997).alias("_time"), F.col("id").alias("offset"), (F.col("id") % 11 - 5).alias("x"))
-    rows = running_sum(df, F.col("x"), "s").orderBy("_time", "offset").collect()
+    rows = running_sums(df, s=F.col("x")).orderBy("_time", "offset").collect()
     total = 0
     for r in rows:
         total += r["x"]
@@ -255,3 +255,20 @@ def test_filters_reach_the_scan(spark):
     plan = e.run("index=events event_type=click earliest=2024-01-05T00:00:00 | fields event_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in plan and "GreaterThanOrEqual(ts" in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp,event_type:string>" in plan.replace("timestamp_ntz", "timestamp")
+
+
+INNER = ["_n", "_x", "_new", "_last", "_piece", "_end", "_before", "_before0", "_sum", "_shown", "_parts", "_whole", "_all", "_by0", "_window", "_at", "_row", "_k0", "_s"]
+
+
+@pytest.mark.parametrize("query", ["accum offset AS total", "accum partition", "dedup 2 sourcetype", "dedup sourcetype", "dedup sourcetype consecutive=true", "dedup host sortby -num(offset)", "eventstats count AS n BY sourcetype", "timechart span=1h count AS n BY _at _window", "join max=0 offset [ search index=idx_a | table offset source ]"])
+def test_inner_names_leave_columns_alone(spark, events, run, query):
+    from pyspark.sql import functions as F
+
+    wide = events.withColumns({c: F.lit(f"user {c}") for c in INNER})
+    out = run(f"index=* | {query}", source=wide)
+    rows = out.collect()
+    assert rows and all(r[c] in (f"user {c}", "0") for r in rows for c in INNER if c in out.columns)
+    if not query.startswith("timechart"):
+        assert set(INNER) <= set(out.columns)
+        plain = run(f"index=* | {query}").select("offset").collect()
+        assert len(plain) == len(rows)

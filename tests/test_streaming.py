@@ -45,3 +45,20 @@ def test_running_total(spark, events, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(path)
     seen = collect(spark, events, stream, "index=* | accum offset AS total | fields _time offset total")
     assert {(r["offset"], r["total"]) for rows, _ in seen for r in rows} == {(i, str(i * (i + 1) // 2)) for i in range(1, 11)}
+
+
+def test_running_total_like_the_batch_with_nulls_and_large_numbers(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    at = lambda i: datetime(2024, 1, 1, 0, 0, i, tzinfo=UTC)
+    rows = [(at(i), i, x, y) for i, (x, y) in enumerate([(2**53 + 1, "1"), (1, "x"), (None, "2.5"), (1, None), (1, "3")])]
+    df = spark.createDataFrame(rows, "_time timestamp, offset bigint, x bigint, y string")
+    path = str(tmp_path / "one")
+    df.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    for query, columns in (("| accum x AS total", ["offset", "x", "y", "total"]), ("| accum y", ["offset", "x", "y"])):
+        seen = []
+        StreamRunner(Engine(spark, source=df)).run(query, stream, lambda d, aggregated: seen.extend(d.collect()), 120)
+        got = sorted([tuple(r[c] for c in columns) for r in seen])
+        assert got == sorted(tuple(r[c] for c in columns) for r in Engine(spark, source=df).run(query).collect())
+        assert [r[1] for r in got] == [2**53 + 1, 1, None, 1, 1]
