@@ -21,19 +21,22 @@ from .sources import sinks
 from .sources.events import EVENT_COLUMNS, empty
 
 RECALL_SIZE = 10_000
+#: Settings of a query besides the recall size.
+SETTINGS = {"post-limit": 0, "query-timeout": 0, "trigger": "0 milliseconds", "mail-server": "localhost:25", "syslog-port": 1601}
 
 
 class Engine:
     """Plans and runs queries.
 
     catalog maps index names to event frames (TableCatalog does); or source is one frame of all events. networks is the table of iplocation.
-    senders take the payloads of kafka, syslog, metric, bloom and mail commands: (payload, options). recall_size is the number of rows that
+    senders take the payloads of kafka, syslog, metric, bloom and mail commands: (payload, options); those not given go to Kafka, a syslog port,
+    a metric endpoint, a JDBC table and a mail server, as their options say. recall_size is the number of rows that
     sorted and delivered results are cut to; None cuts nothing.
     """
 
     def __init__(self, spark: SparkSession, catalog=None, source: DataFrame | None = None, recall_size: int | None = RECALL_SIZE, config: dict | None = None, networks: DataFrame | None = None, senders: dict[str, Callable] | None = None, now: datetime | None = None, restricted_mail: bool = False) -> None:
         self.spark, self.catalog, self.frame, self.recall_size = spark, catalog, source, recall_size
-        self.config = {"recall-size": recall_size} | (config or {})
+        self.config = SETTINGS | {"recall-size": recall_size} | (config or {})
         self.networks, self.senders, self.now, self.restricted_mail = networks, senders or {}, now, restricted_mail
 
     # What commands use
@@ -42,9 +45,10 @@ class Engine:
         return df if self.recall_size is None else df.limit(self.recall_size)
 
     def send(self, kind: str, payload: DataFrame, options: dict) -> None:
-        if kind not in self.senders:
+        given = self.senders | {k: f for k, f in sinks.SENDERS.items() if k not in self.senders}
+        if kind not in given:
             raise QueryError(f"the engine has no sender for {kind}")
-        self.senders[kind](payload, options)
+        given[kind](payload, options)
 
     def send_mail(self, mail, options: dict) -> None:
         self.senders.get("mail", sinks.send_mail)(mail, options)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import datetime
 from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,10 +136,52 @@ def filter_frame(df: DataFrame, node: object, ctx: Context) -> DataFrame:
         sub = c.of if negated else c
         if not isinstance(sub, ast.SubSearch):
             raise QueryError("a subsearch can't be an alternative")
-        df = df.join(cells(ctx.engine.plan(sub.query, ctx)), F.contains(F.lower(col("_raw")), F.col("_cell")), "left_anti" if negated else "left_semi")
+        df = any_cell(df, cells(ctx.engine.plan(sub.query, ctx)), negated)
     return df
 
 
+#: Cells of a subsearch that are tests of their own, and those that one pass of an automaton finds, which is sent to every executor.
+FEW_CELLS, MANY_CELLS, CELL_BYTES = 50, 200_000, 32 << 20
+
+
+def any_cell(df: DataFrame, found: DataFrame, negated: bool) -> DataFrame:
+    """Rows whose _raw has one of the cells (none, if negated). The cells are counted first: a few become conditions, many an automaton (of at most
+    MANY_CELLS cells and CELL_BYTES bytes), more than that stay where they are and are met by a join."""
+    raw = F.lower(col("_raw"))
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_cell")), F.lit(0))).first()
+    if size[0] > MANY_CELLS or size[1] > CELL_BYTES:
+        return df.join(found, F.contains(raw, F.col("_cell")), "left_anti" if negated else "left_semi")
+    texts = sorted(r[0] for r in found.collect())
+    if len(texts) <= FEW_CELLS:
+        hit = reduce(lambda p, q: p | q, [F.contains(raw, F.lit(t)) for t in texts], F.lit(False))
+    else:
+        hit = F.lit(True) if "" in texts else _automaton(df, texts)(raw)
+    hit = F.coalesce(hit, F.lit(False))
+    return df.where(~hit if negated else hit)
+
+
+def _automaton(df: DataFrame, texts: list[str]):
+    sent = df.sparkSession.sparkContext.broadcast(texts)
+
+    @F.pandas_udf("boolean")
+    def has_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            import ahocorasick
+
+            words = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for t in sent.value:
+                words.add_word(t)
+            words.make_automaton()
+            test = lambda s: next(words.iter(s), None) is not None
+        except ImportError:
+            either = re.compile("|".join(map(re.escape, sent.value)))
+            test = lambda s: either.search(s) is not None
+        for b in batches:
+            yield pd.Series([s is not None and test(s) for s in b], dtype=bool)
+
+    return has_any
+
+
 def cells(found: DataFrame) -> DataFrame:
     """The distinct texts, in lower case, in any cell of a subsearch's result."""
     kinds = {f.name: kind_of(f.dataType) for f in found.schema.fields}

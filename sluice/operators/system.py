@@ -57,7 +57,7 @@ def _words(tokens: tuple[str, ...], options: dict[str, str]) -> dict[str, str]:
     """Options written as 'input f' besides those written as input=f."""
     out, i = dict(options), 0
     while i < len(tokens) - 1:
-        if tokens[i] in ("input", "output", "format", "regex", "table", "estimates", "host", "port"):
+        if tokens[i] in ("input", "output", "format", "regex", "table", "estimates", "host", "port", "url", "servers"):
             out[tokens[i]] = tokens[i + 1]
             i += 1
         i += 1
@@ -100,7 +100,7 @@ def _hdfs(df: DataFrame, ctx: Context, rest: tuple[str, ...], options: dict[str,
 
 def _kafka(df: DataFrame, ctx: Context, rest: tuple[str, ...], options: dict[str, str]) -> DataFrame:
     topic = rest[1] if len(rest) > 1 else f"sluice.{ctx.engine.spark.sparkContext.applicationId}"
-    ctx.engine.send("kafka", sinks.kafka_payload(df, ctx.now.isoformat(), ctx.engine.spark.sparkContext.applicationId), {"topic": topic})
+    ctx.engine.send("kafka", sinks.kafka_payload(df, ctx.now.isoformat(), ctx.engine.spark.sparkContext.applicationId), options | {"topic": topic})
     return df
 
 
@@ -172,8 +172,8 @@ def _bloom(df: DataFrame, ctx: Context, rest: tuple[str, ...], options: dict[str
     made = bloom_filters(df, source, options.get("estimates"))
     if "table" in options or "regex" in options:
         made = made.withColumn("pattern", F.lit(options.get("regex", "")))
-    if "bloom" in ctx.engine.senders:
-        ctx.engine.send("bloom", made, {"mode": action, "table": options.get("table", "filters")})
+    if "bloom" in ctx.engine.senders or "url" in options:
+        ctx.engine.send("bloom", made, options | {"mode": action, "table": options.get("table", "filters")})
     return made
 
 

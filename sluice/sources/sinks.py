@@ -73,6 +73,75 @@ def send_lines(df: DataFrame, open_sender: Callable[[], Callable[[str], None]])
     df.foreachPartition(run)
 
 
+def to_kafka(payload: DataFrame, options: dict[str, str]) -> None:
+    payload.write.format("kafka").option("kafka.bootstrap.servers", options.get("servers", "localhost:9092")).option("topic", options["topic"]).save()
+
+
+def to_syslog(lines: DataFrame, options: dict[str, str]) -> None:
+    """Over TCP, a connection for each partition, lines framed by their length (RFC 6587); a lost connection is opened anew, up to ten times."""
+    host, port = options.get("host", "localhost"), int(options.get("port", 1601))
+
+    def open_sender() -> Callable[[str], None]:
+        import socket
+        import time
+
+        held: list = []
+
+        def send(line: str) -> None:
+            raw = (line or "").encode()
+            for left in range(9, -1, -1):
+                try:
+                    if not held:
+                        held.append(socket.create_connection((host, port), 10))
+                    held[0].sendall(b"%d %s" % (len(raw), raw))
+                    return
+                except OSError:
+                    if held:
+                        held.pop().close()
+                    if not left:
+                        raise
+                    time.sleep(0.5)
+
+        return send
+
+    send_lines(lines, open_sender)
+
+
+#: Metric lines of one request.
+METRIC_LINES = 1000
+
+
+def to_metrics(lines: DataFrame, options: dict[str, str]) -> None:
+    """POSTs to the endpoint in requests of METRIC_LINES lines. 202 is success; any other answer is an error that tells what the endpoint says."""
+    url = options.get("url", "http://localhost:14499/metrics/ingest")
+
+    def run(rows) -> None:
+        from itertools import islice
+        from urllib import error, request
+
+        while part := [r[0] for r in islice(rows, METRIC_LINES)]:
+            post = request.Request(url, "\n".join(part).encode(), {"Content-Type": "text/plain; charset=utf-8"})
+            try:
+                with request.urlopen(post, timeout=30) as answer:
+                    status, said = answer.status, answer.read(2000).decode(errors="replace")
+            except error.HTTPError as e:
+                status, said = e.code, e.read(2000).decode(errors="replace")
+            if status != 202:
+                raise QueryError(f"the metric endpoint answers {status}: {said}")
+
+    lines.foreachPartition(run)
+
+
+def to_jdbc(filters: DataFrame, options: dict[str, str]) -> None:
+    """Filters to a table: create appends, update writes it anew. Without a URL they are only the result."""
+    if "url" in options:
+        filters.write.format("jdbc").option("url", options["url"]).option("dbtable", options.get("table", "filters")).mode("overwrite" if options.get("mode") == "update" else "append").save()
+
+
+#: What sends a payload where the engine is given nothing else.
+SENDERS: dict[str, Callable[[DataFrame, dict[str, str]], None]] = {"kafka": to_kafka, "syslog": to_syslog, "metric": to_metrics, "bloom": to_jdbc}
+
+
 def as_table(columns: list[str], rows: list[tuple], sort_widths: bool = False) -> str:
     cells = [["" if x is None else str(x) for x in r] for r in rows]
     order = list(range(len(columns)))

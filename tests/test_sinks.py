@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -53,3 +54,56 @@ def test_mail_errors(spark, events, options):
 def test_restricted_mail(spark, events):
     with pytest.raises(QueryError):
         Engine(spark, source=events, restricted_mail=True).run("index=* | sendemail to=a cc=b")
+
+
+def test_syslog_over_a_socket(spark, events):
+    import socketserver
+    import threading
+
+    got = []
+
+    class Handler(socketserver.StreamRequestHandler):
+        def handle(self):
+            while size := b"".join(iter(lambda: self.rfile.read(1).strip(), b"")):
+                got.append(self.rfile.read(int(size)).decode())
+
+    with socketserver.ThreadingTCPServer(("127.0.0.1", 0), Handler) as server:
+        server.daemon_threads = True
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        Engine(spark, source=events).run(f"index=* | fields _raw offset | x exec syslog stream host 127.0.0.1 port {server.server_address[1]}")
+        deadline = time.time() + 10
+        while len(got) < 10 and time.time() < deadline:
+            time.sleep(0.1)
+        server.shutdown()
+    assert sorted(line.rsplit("] ", 1)[1] for line in got) == [f"raw {i:02d}" for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("status", [202, 400])
+def test_metrics_over_http(spark, events, status):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(b"linesInvalid")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    query = f'index=* | stats count(offset) BY sourcetype | x exec dynatrace metric write "m" url "http://127.0.0.1:{server.server_address[1]}/x"'
+    try:
+        if status == 202:
+            Engine(spark, source=events).run(query)
+            assert sorted("\n".join(got).split("\n")) == ['m,sourcetype="stream1" gauge,count=5', 'm,sourcetype="stream2" gauge,count=5']
+        else:
+            with pytest.raises(Exception, match="answers 400: linesInvalid"):
+                Engine(spark, source=events).run(query)
+    finally:
+        server.shutdown()
