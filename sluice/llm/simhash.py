@@ -1,10 +1,12 @@
-"""SimHash near-dedup: fingerprints cut into blocks, a join on equal blocks, then the Hamming distance."""
+"""SimHash near-dedup: fingerprints cut into blocks, a join on equal blocks, then the Hamming distance; pairs that share no block are found by
+a ring of smaller blocks that differ in a bit at most."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,14 @@ RECALL = 0.9
 HOT = 50_000
 #: Rows of a block of which all pairs are compared.
 SMALL = 32
+#: Blocks of the ring by which pairs without a shared block are found, and those of them that are compared at once.
+RING, CHAIN = 31, 5
+#: Fingerprints of a group: a task compares two groups.
+GROUP = 1 << 19
+#: Tasks at least, where there are enough fingerprints.
+SHARES = 12
+#: Comparisons made at once.
+_TILE = 1 << 15
 _WORD = re.compile(r"\w+")
 _FP = [f"f{i}" for i in range(WORDS)]
 #: Word forms whose bits a worker keeps.
@@ -236,6 +246,149 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, hot: int = HO
     return light.unionByName(links).unionByName(compare(far.select("key", "node", *_FP)))
 
 
+def _chain(prints: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bits of block k of the ring, those of it and the CHAIN - 1 blocks after it, and the width of the block, of fingerprints (six rows of words)."""
+    at, end, last = (i * 64 * WORDS // RING for i in (k, k + 1, k + CHAIN))
+    word, shift = divmod(at, 64)
+    bits = prints[word] << np.uint64(shift)
+    if shift:
+        bits |= prints[(word + 1) % WORDS] >> np.uint64(64 - shift)
+    return (bits >> np.uint64(64 - end + at)).astype(np.int64), bits >> np.uint64(64 - last + at), end - at
+
+
+def _masks(width: int, most: int) -> np.ndarray:
+    """Words of width bits of which at most most are set."""
+    return np.array([sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+def _work(a: np.ndarray, b: np.ndarray, own: bool, most: int) -> float:
+    """Nanoseconds that the ring takes, about."""
+    out = 0.0
+    for k in range(RING):
+        (ka, _, width), (kb, _, _) = _chain(a, k), _chain(b, k)
+        na, nb = np.bincount(ka, minlength=1 << width), np.bincount(kb, minlength=1 << width)
+        met = sum((na * nb[np.arange(1 << width) ^ m]).sum(dtype=float) for m in _masks(width, most // RING))
+        out += 3 * met / (1 + own) + 60_000 * np.count_nonzero(na)
+    return out
+
+
+def root_pairs(a: np.ndarray, ra: np.ndarray, b: np.ndarray | None, rb: np.ndarray | None, most: int, share: int = 0, shares: int = 1, ring: bool | None = None) -> np.ndarray:
+    """Rows (u, v), u < v: all different roots of which fingerprints (six rows of words) are at most most bits apart, one of a and one of b, or
+    both of a where b is None; of shares shares of the work the one of number share.
+
+    Bits that differ are at most most over all RING blocks, so that going round from one of the blocks the first 1, 2, 3... blocks all hold at
+    most their share of them: that block holds most // RING and its chain of CHAIN blocks CHAIN * most // RING. The first gives the buckets to
+    compare, the second is tested before the whole distance. Where the buckets are so uneven that all pairs take less, all are compared.
+    Fingerprints of one root aren't compared where they come in large runs.
+    """
+    own = b is None
+    order = np.argsort(ra, kind="stable")
+    a, ra = np.ascontiguousarray(a[:, order]), ra[order]
+    if own:
+        b, rb = a, ra
+    else:
+        order = np.argsort(rb, kind="stable")
+        b, rb = np.ascontiguousarray(b[:, order]), rb[order]
+    found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+    held = 0
+
+    def compare(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> None:
+        """Words x of the fingerprints i of a with words y of those j of b."""
+        nonlocal held, found
+        if not len(i) or not len(j):
+            return
+        large = len(i) * len(j) > 1 << 22
+        step = 64 if large else max(1, _TILE // len(j))
+        for lo in range(0, len(i), step):
+            x0, i0, y0, j0 = x[:, lo : lo + step], i[lo : lo + step], y, j
+            if large and ra[i0[0]] == ra[i0[-1]]:
+                other = rb[j] != ra[i0[0]]
+                y0, j0 = y[:, other], j[other]
+            for at in range(0, len(j0), max(1, _TILE // len(i0))):
+                y1 = y0[:, at : at + max(1, _TILE // len(i0))]
+                d = np.bitwise_count(x0[0][:, None] ^ y1[0])
+                for w in range(1, len(x)):
+                    d += np.bitwise_count(x0[w][:, None] ^ y1[w])
+                hit = np.flatnonzero(d.ravel() <= limit)
+                if not len(hit):
+                    continue
+                p, q = i0[hit // y1.shape[1]], j0[at + hit % y1.shape[1]]
+                other = ra[p] != rb[q]
+                p, q = p[other], q[other]
+                ok = np.bitwise_count(a[:, p] ^ b[:, q]).sum(axis=0, dtype=np.int32) <= most
+                if not ok.any():
+                    continue
+                u, v = ra[p[ok]], rb[q[ok]]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+                held += len(u)
+                if held > 1 << 20 or len(found) > 1 << 16:
+                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
+
+    if ring is None:
+        ring = most < 3 * RING and _work(a, b, own, most) < 7 * len(ra) * len(rb) / (1 + own)
+    if not ring:
+        j = np.arange(len(rb))
+        for lo in range(64 * share, len(ra), 64 * shares):
+            i = np.arange(lo, min(lo + 64, len(ra)))
+            other = rb != ra[lo] if ra[lo] == ra[i[-1]] else rb == rb
+            if own:
+                other[:lo] = False
+            compare(a[:3, i], b[:3, other], i, j[other], most)
+    for k in range(share, RING, shares) if ring else ():
+        (ka, xa, width), (kb, xb, _) = _chain(a, k), _chain(b, k)
+        ia, ib = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        keys, masks = np.arange((1 << width) + 1), _masks(width, most // RING)
+        xa, xb, sa, sb = xa[ia], xb[ib], np.searchsorted(ka[ia], keys), np.searchsorted(kb[ib], keys)
+        for key in np.flatnonzero(np.diff(sa)):
+            near = key ^ masks
+            near = near[(near >= key) & (sb[near] < sb[near + 1])] if own else near[sb[near] < sb[near + 1]]
+            if len(near):
+                parts = [slice(s, e) for s, e in zip(sb[near].tolist(), sb[near + 1].tolist())]
+                at = slice(sa[key], sa[key + 1])
+                compare(xa[None, at], np.concatenate([xb[s] for s in parts])[None], ia[at], np.concatenate([ib[s] for s in parts]), CHAIN * most // RING)
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _root_pairs(most: int, shares: int):
+    """root_pairs of the groups and the share of a partition's rows (at, root, f0..f5)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+        if not rows:
+            return
+        at, root, *words = np.concatenate(rows, axis=1)
+        del rows
+        pair, share = divmod(int(at[0]) // 2, shares)
+        later = (math.isqrt(8 * pair + 1) - 1) // 2
+        prints, second = np.stack(words).view(np.uint64), at % 2 == 1
+        del words
+        b, rb = (None, None) if pair == later * (later + 1) // 2 + later else (prints[:, second], root[second])
+        out = root_pairs(prints[:, ~second], root[~second], b, rb, most, share, shares)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+
+    return run
+
+
+def missed_links(nodes: DataFrame, n: int, max_distance: int = MAX_DISTANCE, group: int = GROUP) -> DataFrame:
+    """(u, v) with u < v: all different roots of which any of the n nodes (root, f0..f5) are at most max_distance bits apart; a pair may come
+    more than once.
+
+    The nodes go to groups of about group, and each two groups, or each with itself, to a task that finds all their pairs (see root_pairs); of
+    few groups several tasks do a share each.
+    """
+    many = max(1, -(-n // group))
+    pairs = many * (many + 1) // 2
+    shares = max(1, -(-SHARES // pairs)) if n > 1 << 14 else 1
+    own, other = F.col("own"), F.floor(F.col("to") / shares)
+    pair = F.expr("bigint(greatest(own, other) * (greatest(own, other) + 1) div 2 + least(own, other))")
+    rows = nodes.select(F.pmod(F.xxhash64(*_FP), F.lit(many)).alias("own"), "root", *_FP)
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(many * shares - 1)))).withColumn("other", other)
+    at = (pair * shares + F.col("to") % shares) * 2 + (own > F.col("other")).cast("bigint")
+    rows = rows.select(at.cast("bigint").alias("at"), "root", *_FP)
+    rows = rows.repartitionById(pairs * shares, F.floor(F.col("at") / 2).cast("int"))
+    return rows.mapInArrow(_root_pairs(max_distance, shares), "u bigint, v bigint")
+
+
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(id, root) for every document that has a near copy: root is the least id that chains of near pairs link it with.
 
@@ -243,7 +396,13 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_distanc
     """
     prints = materialize(fingerprint_table(docs, text, key))
     nodes = materialize(prints.groupBy(*_FP).agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    linked = components(materialize(near_links(nodes, max_distance)))
+    linked = materialize(components(materialize(near_links(nodes, max_distance))))
+    rooted = nodes.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), *_FP)
+    missed = materialize(missed_links(rooted, nodes.count(), max_distance))
+    if not missed.isEmpty():
+        above = materialize(components(missed).select("node", F.col("root").alias("top")))
+        alone = above.join(linked, "node", "left_anti").select("node", F.col("top").alias("root"))
+        linked = linked.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
     copies = prints.join(nodes.where("copies > 1"), _FP).select("id", "node")
     of_copies = copies.join(linked, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     return of_copies.unionByName(linked.select(F.col("node").alias("id"), "root")).distinct()
@@ -253,9 +412,8 @@ def simhash_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_
     """docs with one document of each group of near copies: the one with the least key.
 
     Two documents are near copies if the fingerprints of their sets of lower-case words differ in at most max_distance of 384 bits; groups are
-    the connected components of near copies that share a block of their fingerprints. Blocks get wider and more with the number of documents, so
-    that a pair at max_distance shares one with a chance of at least RECALL at every size; nearer pairs do so almost always, and for certain
-    below the number of blocks that a fingerprint has. Null, empty and wordless texts have no fingerprint and stay, as do rows without a key. Rows that repeat a key
+    the connected components of all near copies, whether or not they share a block of their fingerprints: blocks find most links, then all pairs
+    of different groups are met by the ring (see root_pairs), which leaves out none. Null, empty and wordless texts have no fingerprint and stay, as do rows without a key. Rows that repeat a key
     count as one document, of which one row stays. Ties go to the least key. Texts may be of any length. An empty table gives an empty one.
     Other columns come through as they are, whatever their names.
     """

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sluice.llm.common import components
-from sluice.llm.simhash import HOT, MAX_DISTANCE, WORDS, block_bits, blocks, distances, fingerprint_table, fingerprints, groups, links_of_block, near_links, simhash_dedup
+from sluice.llm.simhash import HOT, MAX_DISTANCE, WORDS, block_bits, blocks, distances, fingerprint_table, fingerprints, groups, links_of_block, missed_links, near_links, root_pairs, simhash_dedup
 
 DOCS = "doc_id bigint, text string"
 
@@ -163,3 +163,49 @@ def test_groups_of_the_tables(spark):
     root = {r["id"]: r["root"] for r in rows}
     assert copies and all(len({root[i] for i in c["i"]}) == 1 for c in copies)
     assert np.all([r["root"] in root for r in rows])
+
+
+def test_pairs_without_a_shared_block_are_linked(table, rng, prose):
+    rows, own = [], blocks(16)
+    while len(rows) < 16:
+        base = prose(rng, 150, 20_000)
+        other = edited(rng, base, 0.11)
+        a, b = (as_int(x) for x in fingerprints([base, other]))
+        digit = [(a ^ b) >> 4 * (95 - k) & 15 for k in range(96)]
+        if (a ^ b).bit_count() <= MAX_DISTANCE and np.array(digit)[own].any(axis=1).all():
+            rows += [(len(rows), base), (len(rows) + 1, other)]
+    assert {(r["id"], r["root"]) for r in groups(table(rows, DOCS)).collect()} == {(i, i - i % 2) for i in range(16)}
+    assert sorted(r["doc_id"] for r in simhash_dedup(table(rows, DOCS)).collect()) == list(range(0, 16, 2))
+
+
+def planted(n, seed):
+    """Fingerprints of which many are 50 to 70 bits apart, some 60, and one run of near ones."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (n, 64 * WORDS), np.uint8)
+    for i in range(1, n // 2):
+        bits[i] = bits[i // 8 * 8 if i < n // 4 else 0]
+        bits[i, rng.choice(64 * WORDS, 60 if i % 3 else rng.integers(20, 40), replace=False)] ^= 1
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+
+
+@pytest.mark.parametrize("most", [10, 60, 64])
+@pytest.mark.parametrize("ring", [True, False])
+def test_root_pairs_like_brute_force(ring, most):
+    x = planted(600, 3)
+    root = np.where(np.arange(600) % 7 == 0, 0, np.arange(600))
+    near = [(int(i), int(j)) for i in range(600) for j in np.flatnonzero(distances(x[i + 1 :], x[i]) <= most) + i + 1]
+    wanted = lambda pairs: {tuple(sorted((int(root[i]), int(root[j])))) for i, j in pairs if root[i] != root[j]}
+    of = lambda pairs: {tuple(p) for p in pairs.tolist()}
+    assert wanted(near) or most == 10
+    parts = [of(root_pairs(x.T, root, None, None, most, k, 4, ring)) for k in range(4)]
+    assert set().union(*parts) == wanted(near)
+    got = of(root_pairs(x[::2].T, root[::2], x[1::2].T, root[1::2], most, ring=ring))
+    assert got == wanted((i, j) for i, j in near if (i + j) % 2)
+
+
+@pytest.mark.parametrize("group", [40, 150, 1000])
+def test_missed_links_of_all_groups(spark, group):
+    x = planted(300, 4)
+    nodes = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(x.view(np.int64))], "root bigint, " + ", ".join(f"f{k} bigint" for k in range(WORDS)))
+    wanted = {(i, int(j)) for i in range(300) for j in np.flatnonzero(distances(x[i + 1 :], x[i]) <= MAX_DISTANCE) + i + 1}
+    assert wanted and {(r["u"], r["v"]) for r in missed_links(nodes, 300, group=group).collect()} == wanted
