@@ -1,5 +1,6 @@
 import importlib.util
 
+import numpy as np
 import pytest
 
 if importlib.util.find_spec("corpus_pipeline") is None:
@@ -8,6 +9,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 import corpus_pipeline  # noqa: E402
 from sluice.llm.chat import TOKENIZER, encoding  # noqa: E402
 from sluice.llm.common import materialize  # noqa: E402
+from sluice.llm.simhash import MAX_DISTANCE, blocks, distances, fingerprints  # noqa: E402
 
 ENC, _ = encoding(TOKENIZER)
 
@@ -57,6 +59,19 @@ def test_stages(spark, folder):
     assert packed == {i: n for i, n in length.items() if n}
 
 
+def test_near_copies_without_a_shared_block_go(spark, table, rng, prose):
+    rows, own = [], blocks(16)
+    while len(rows) < 12:
+        words = prose(rng, 150, 20_000).split()
+        other = [f"edit{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in words]
+        texts = [" ".join(words), " ".join(other)]
+        a, b = fingerprints(texts)
+        digits = np.unpackbits((a ^ b).astype(">i8").view(np.uint8)).reshape(96, 4).any(axis=1)
+        if distances(a, b) <= MAX_DISTANCE and digits[own].any(axis=1).all():
+            rows += [(len(rows) + k, t, "xx", "s", len(t)) for k, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, table(rows, DOCS), "").collect()) == list(range(0, 12, 2))
+
+
 def test_run_gives_what_the_stages_give(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
