@@ -104,7 +104,7 @@ def blocks(width: int, max_distance: int = MAX_DISTANCE) -> np.ndarray:
     """The four-bit digits (96 in a fingerprint) of each block: the fingerprint split into blocks of width bits, and again in other orders of
     its digits, as often as it takes for RECALL of 4000 made pairs at max_distance to share one.
 
-    Pairs of fewer bits apart than the first split has blocks share one for certain.
+    Pairs of fewer bits apart than the first split has blocks share one for certain; the links of pairs that share none are found by missed_links.
     """
     bits, each = 64 * WORDS, width // 4
     rng, out = np.random.default_rng(0), []
@@ -279,15 +279,16 @@ def root_pairs(a: np.ndarray, ra: np.ndarray, b: np.ndarray | None, rb: np.ndarr
     Bits that differ are at most most over all RING blocks, so that going round from one of the blocks the first 1, 2, 3... blocks all hold at
     most their share of them: that block holds most // RING and its chain of CHAIN blocks CHAIN * most // RING. The first gives the buckets to
     compare, the second is tested before the whole distance. Where the buckets are so uneven that all pairs take less, all are compared.
-    Fingerprints of one root aren't compared where they come in large runs.
+    Fingerprints of one root aren't compared where they come in large runs. Shares are the same in whatever order the rows come, as executors
+    read the outputs of a shuffle in different orders.
     """
     own = b is None
-    order = np.argsort(ra, kind="stable")
+    order = np.lexsort((*a, ra))
     a, ra = np.ascontiguousarray(a[:, order]), ra[order]
     if own:
         b, rb = a, ra
     else:
-        order = np.argsort(rb, kind="stable")
+        order = np.lexsort((*b, rb))
         b, rb = np.ascontiguousarray(b[:, order]), rb[order]
     found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
     held = 0

@@ -209,3 +209,20 @@ def test_missed_links_of_all_groups(spark, group):
     nodes = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(x.view(np.int64))], "root bigint, " + ", ".join(f"f{k} bigint" for k in range(WORDS)))
     wanted = {(i, int(j)) for i in range(300) for j in np.flatnonzero(distances(x[i + 1 :], x[i]) <= MAX_DISTANCE) + i + 1}
     assert wanted and {(r["u"], r["v"]) for r in missed_links(nodes, 300, group=group).collect()} == wanted
+
+
+@pytest.mark.parametrize("ring", [True, False])
+def test_shares_whose_rows_come_in_different_orders(ring):
+    """As executors read the outputs of a shuffle in different orders."""
+    x, rng = planted(800, 5), np.random.default_rng(6)
+    root = np.where(np.arange(800) % 4 > 0, 0, np.arange(800))
+    near = [(int(i), int(j)) for i in range(800) for j in np.flatnonzero(distances(x[i + 1 :], x[i]) <= MAX_DISTANCE) + i + 1]
+    wanted = {tuple(sorted((int(root[i]), int(root[j])))) for i, j in near if root[i] != root[j]}
+    got, across = set(), set()
+    for k in range(6):
+        at = rng.permutation(800)
+        own, other = at[at < 500], at[at >= 500]
+        got |= {tuple(p) for p in root_pairs(x[at].T, root[at], None, None, MAX_DISTANCE, k, 6, ring).tolist()}
+        across |= {tuple(p) for p in root_pairs(x[own].T, root[own], x[other].T, root[other], MAX_DISTANCE, k, 6, ring).tolist()}
+    assert wanted and got == wanted
+    assert across == {tuple(sorted((int(root[i]), int(root[j])))) for i, j in near if i < 500 <= j and root[i] != root[j]}
