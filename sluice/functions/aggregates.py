@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ast import Aggregate
 from ..plans.lexer import QueryError
-from .values import NUMERIC, Value, col, kind_of, number, text
+from .values import NUMERIC, Value, col, kind_of, number, quoted, text
 
 #: Most values that list() shows.
 LIST_LIMIT = 100
+#: Whole numbers up to this are doubles, each its own.
+DOUBLE_HOLDS = 2**53
+#: number() of a column in SQL, by kind.
+_NUMBER = {
+    "str": "try_cast({} AS double)",
+    "bool": "cast({} AS double)",
+    "time": "cast(unix_timestamp({}) AS double)",
+    "mv": "try_cast(array_join(cast({} AS array<string>), chr(10)) AS double)",
+    "null": "cast(null AS double)",
+    "other": "try_cast(to_json({}) AS double)",
+}
 
 
 class Aggregates:
     def __init__(self, df: DataFrame) -> None:
         self.first = df.columns[0] if df.columns else None
-        self.kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+        self.types = {f.name: f.dataType for f in df.schema.fields}
+        self.kinds = {name: kind_of(t) for name, t in self.types.items()}
         order = [col(c) for c in ("_time", "offset") if c in self.kinds]
         #: What comes first and last, with a hash of all the row for ties.
         plain = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
@@ -32,7 +45,7 @@ class Aggregates:
 
     def __call__(self, a: Aggregate) -> Column:
         if m := re.fullmatch(r"(exactperc|upperperc|perc|p)(\d+(?:\.\d+)?)", a.function):
-            out = self.exact_percentile(a, float(m[2])) if m[1] == "exactperc" else self.percentile(a, float(m[2]))
+            out = self.exact_percentile(a, float(m[2])) if m[1] == "exactperc" else self.percentile(a, Decimal(m[2]))
         else:
             name = {"c": "count", "mean": "avg", "distinct_count": "dc"}.get(a.function, a.function)
             if not hasattr(self, f"of_{name}"):
@@ -111,9 +124,23 @@ class Aggregates:
     def of_median(self, a: Aggregate) -> Column:
         return F.percentile(number(self.value(a)), 0.5)
 
-    def percentile(self, a: Aggregate, p: float) -> Column:
-        v = self.value(a)
-        return F.percentile_approx(v.column if v.kind in NUMERIC else number(v), p / 100, 10000)
+    def percentile(self, a: Aggregate, p: Decimal) -> Column:
+        """The least value that has p percent of all at or below it, found by counts of the different values; of the value's type. It comes as a double,
+        so whole numbers that a double can't hold are gathered, if there are any, and looked up by place."""
+        v, name = self.value(a), a.field if a.field is not None else self.first
+        # a little less than the share, else the double's product with a count is rounded up to the next place (0.07 of 100)
+        share = float(p / 100) * (1 - 1e-15)
+        found = F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY {_NUMBER.get(v.kind, '{}').format(quoted(name or ''))})")
+        if v.kind not in NUMERIC:
+            return found
+        found = found.cast(self.types[name])
+        if v.kind != "long":
+            return found
+        low, high = (F.array_sort(F.collect_list(F.when(c, v.column))) for c in (v.column < -DOUBLE_HOLDS, v.column > DOUBLE_HOLDS))
+        n = F.count(v.column)
+        at = F.greatest(F.ceil(n.cast("decimal(19,0)") * F.lit(p / 100)).cast("bigint") - 1, F.lit(0))
+        from_high = at - (n - F.size(high))
+        return F.when(at < F.size(low), F.get(low, at.cast("int"))).when(from_high >= 0, F.get(high, from_high.cast("int"))).otherwise(found)
 
     def exact_percentile(self, a: Aggregate, p: float) -> Column:
         """The value at the place nearest to p of the way (the lower one of two); of an even number of values the mean with the next one."""

@@ -106,6 +106,14 @@ def test_aggregate_goldens(spark, run):
     assert abs(r["s"] - 3.4761089357690347) < 1e-12 and abs(r["sp"] - 3.3281209246193093) < 1e-12
 
 
+def test_percentiles_are_values_at_their_places(spark, run):
+    df = spark.range(120_000).selectExpr("id * 7919 % 120000 AS n", "cast(id % 100 AS string) AS s", "id * 7919 % 120000 + 9007199254740993L AS big", "id * 7919 % 120000 - 60000 + if(id * 7919 % 120000 < 60000, -9007199254740993L, 9007199254740993L) AS both")
+    r = run("| stats perc50(n) AS a p95(n) AS b upperperc99.9(n) AS c perc0.01(n) AS d perc7(s) AS e perc50(big) AS f perc100(big) AS g perc25(both) AS h perc75(both) AS i", df).first()
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (59_999, 113_999, 119_879, 11, 6.0)
+    assert (r["f"], r["g"]) == (59_999 + 2**53 + 1, 119_999 + 2**53 + 1)
+    assert (r["h"], r["i"]) == (29_999 - 60_000 - 2**53 - 1, 89_999 - 60_000 + 2**53 + 1)
+
+
 def test_aggregates_of_texts_and_lists(spark, run):
     df = spark.createDataFrame([("3", ["1", "x"]), ("2.5", ["2", "3.5"]), ("word", None), (None, [])], "s string, m array<string>")
     r = run("| stats sum(s) AS a sum(m) AS b min(s) AS lo max(s) AS hi avg(s) AS av count(s) AS n mode(nothing) AS mo", df).first()
