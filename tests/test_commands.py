@@ -192,6 +192,15 @@ def test_sort(run):
     assert run("index=* | sort offset", recall_size=4).count() == 4
 
 
+def test_addresses_sort_by_their_four_numbers(spark, run):
+    given = ["10.0.1499.7", "10.0.1000.12", "10.0.999.200", "10.0.1499.12", "10.0.70000.1", "10.1.0.0", "9.0.0.1", "no address"]
+    want = ["no address", "9.0.0.1", "10.0.999.200", "10.0.1000.12", "10.0.1499.7", "10.0.1499.12", "10.0.70000.1", "10.1.0.0"]
+    df = spark.createDataFrame([(g,) for g in given], "a string")
+    assert col(run("| sort + ip(a)", df), "a") == want
+    assert col(run("| sort - ip(a)", df), "a") == want[::-1]
+    assert col(run("| sort + auto(a)", df), "a") == [*want[1:], want[0]]
+
+
 def test_join(run):
     sub = '[ search index=* | eval a=case(offset<2,"1",offset<3,"2",offset>2,"1") ]'
     rows = run(f"index=* | join type=left max=3 offset {sub} | sort offset").collect()
